@@ -4,9 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
-# Words that mean "no symbol" / "no value".
+# Words that mean "no symbol".
 NULL_SYMBOLS = ("NAN", "NONE", "NULL")
-NULL_NUMBERS = ("", "nan", "none", "null", "n/a")
 
 # Multiplier suffixes of abbreviated numbers.
 SUFFIX_SCALE = {"K": 1e3, "M": 1e6, "B": 1e9, "T": 1e12}
@@ -33,18 +32,12 @@ def valuation_symbol(x: Column) -> Column:
 def parse_number(x: Column) -> Column:
     """``1,234.5``, ``3.2B``, ``12%`` -> double; anything else NULL."""
     text = F.regexp_replace(F.trim(x), ",", "")
-    percent = text.endswith("%")
-    body = F.regexp_replace(text, "%$", "")
-    letter = F.upper(F.right(body, F.lit(1)))
-    digits = F.trim(F.regexp_replace(body, "[KMBTkmbt]$", ""))
-    number = F.when(
-        digits.rlike(r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$"), digits.try_cast("double")
-    )
+    digits = F.regexp_extract(text, r"^([+-]?(?:\d+\.?\d*|\.\d+)(?:[eE][+-]?\d+)?)\s*[KMBTkmbt]?%?$", 1)
+    letter = F.upper(F.regexp_extract(text, "([KMBTkmbt])%?$", 1))
     scale = F.lit(1.0)
     for suffix, factor in SUFFIX_SCALE.items():
         scale = F.when(letter == suffix, F.lit(factor)).otherwise(scale)
-    value = F.when(percent, number * scale / 100.0).otherwise(number * scale)
-    return F.when(~F.lower(text).isin(*NULL_NUMBERS), value)
+    return digits.try_cast("double") * scale / F.when(text.endswith("%"), 100.0).otherwise(1.0)
 
 
 def parse_amount_range(x: Column) -> Column:

@@ -5,9 +5,9 @@ from __future__ import annotations
 WEEKLY = """
 bars AS (
   SELECT symbol, datetime,
-         first(price ORDER BY l_shipdate, l_orderkey, l_linenumber, l_partkey, l_extendedprice) AS open,
+         first(price ORDER BY l_shipdate, l_orderkey, l_linenumber, l_extendedprice) AS open,
          max(price) AS high, min(price) AS low,
-         last(price ORDER BY l_shipdate, l_orderkey, l_linenumber, l_partkey, l_extendedprice) AS close,
+         last(price ORDER BY l_shipdate, l_orderkey, l_linenumber, l_extendedprice) AS close,
          sum(l_quantity) AS volume
   FROM (SELECT l_suppkey AS symbol, CAST(date_trunc('week', l_shipdate) AS TIMESTAMP) AS datetime,
                l_extendedprice / l_quantity AS price, * FROM lineitem)

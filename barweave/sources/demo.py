@@ -6,7 +6,7 @@ a second, event-time price stream, ``orders`` for a date-only calendar.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from barweave.sources.bars import build_bars
 
@@ -19,15 +19,32 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return df.withColumns({c: F.col(c).cast("timestamp") for c in naive}) if naive else df
 
 
+def line_sequence(period_start) -> Column:
+    """One sortable number per line inside a period: day, order, line number, price in cents.
+
+    A single fixed-width key keeps the bar aggregation hash-based; a struct key
+    would force Spark to sort all raw rows first.  Lines equal in all four are
+    copies of one print.
+    """
+    day_order = (
+        F.datediff("l_shipdate", period_start).cast("decimal(3,0)") * F.lit(str(10**19)).cast("decimal(20,0)")
+        + F.col("l_orderkey").cast("decimal(19,0)")
+    ).cast("decimal(22,0)")
+    line_price = F.col("l_linenumber").cast("bigint") * 10**12 + F.round(F.col("l_extendedprice") * 100).cast("bigint")
+    shifted = (day_order * F.lit(str(10**15)).cast("decimal(16,0)")).cast("decimal(38,0)")
+    return (shifted + line_price.cast("decimal(16,0)")).cast("decimal(38,0)")
+
+
 def weekly_bars(spark: SparkSession, folder: str) -> DataFrame:
     """Supplier-week bars; price is the unit price of a line."""
     li = table(spark, folder, "lineitem")
+    week = F.date_trunc("week", "l_shipdate")
     return build_bars(
         li,
         symbol=F.col("l_suppkey"),
-        period=F.date_trunc("week", "l_shipdate"),
+        period=week,
         price=F.col("l_extendedprice") / F.col("l_quantity"),
-        order=[F.col(c) for c in ("l_shipdate", "l_orderkey", "l_linenumber", "l_partkey", "l_extendedprice")],
+        order=[line_sequence(week)],
         volume=F.col("l_quantity"),
     )
 
@@ -35,12 +52,13 @@ def weekly_bars(spark: SparkSession, folder: str) -> DataFrame:
 def event_day_bars(spark: SparkSession, folder: str) -> DataFrame:
     """User-day bars from event values; volume counts events."""
     ev = table(spark, folder, "events")
+    micros = F.unix_micros("ts").cast("decimal(19,0)") * F.lit(str(10**19)).cast("decimal(20,0)")
     return build_bars(
         ev,
         symbol=F.col("user_id"),
         period=F.date_trunc("day", "ts"),
         price=F.col("value"),
-        order=[F.col("ts"), F.col("event_id")],
+        order=[(micros.cast("decimal(38,0)") + F.col("event_id").cast("decimal(19,0)")).cast("decimal(38,0)")],
     )
 
 
@@ -87,3 +105,50 @@ def quarterly_fundamentals(spark: SparkSession, folder: str) -> DataFrame:
         F.when(~sparse, F.col("mean_discount")).alias("mean_discount"),
         F.col("line_count").cast("double").alias("line_count"),
     )
+
+
+# Stand-in names for date-keyed series, assigned by customer number and by order priority.
+SERIES_BY_CUSTOMER = (
+    "macro_proxy_spy",
+    "macro_proxy_tlt",
+    "macro_proxy_iwm",
+    "macro_proxy_qqq",
+    "macro_proxy_hyg",
+    "macro_proxy_lqd",
+    "macro_fmp_market_risk_premium",
+    "macro_fmp_risk_free_rate",
+    "macro_sector_perf_a",
+    "macro_sector_perf_b",
+    "macro_sector_pe_a",
+    "macro_sector_pe_b",
+)
+SERIES_BY_PRIORITY = {
+    "1-URGENT": "macro_fred_dgs10",
+    "2-HIGH": "macro_fred_dgs2",
+    "3-MEDIUM": "macro_fred_dgs3m",
+    "4-NOT SPECIFIED": "macro_fred_cpi",
+    "5-LOW": "macro_fred_vix",
+}
+SERIES_BY_STATUS = {"P": "macro_tsy_5y"}
+MACRO_SERIES = (*SERIES_BY_CUSTOMER, *SERIES_BY_PRIORITY.values(), *SERIES_BY_STATUS.values())
+
+
+def macro_long(spark: SparkSession, folder: str) -> DataFrame:
+    """Long (datetime, series, value) table: one value per day and series, days may miss."""
+    orders = table(spark, folder, "orders")
+    by_customer = F.element_at(F.array(*map(F.lit, SERIES_BY_CUSTOMER)), (F.col("o_custkey") % 12 + 1).cast("int"))
+
+    def mapped(column, names):
+        pairs = [F.lit(x) for kv in names.items() for x in kv]
+        return F.try_element_at(F.create_map(*pairs), F.col(column))
+
+    long = orders.select(
+        F.col("o_orderdate").alias("datetime"),
+        (F.col("o_totalprice") / 100000.0).alias("value"),
+        F.explode(
+            F.array_compact(
+                F.array(by_customer, mapped("o_orderpriority", SERIES_BY_PRIORITY), mapped("o_orderstatus", SERIES_BY_STATUS))
+            )
+        ).alias("series"),
+    )
+    return long.groupBy("datetime", "series").agg(F.avg("value").alias("value"))
