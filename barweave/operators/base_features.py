@@ -5,13 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from barweave.functions.missing import ratio
+from barweave.functions.prefix import Rolling, Series
 from barweave.functions.windows import (
     by_symbol,
     island_number,
     pct_change,
     roll_mean,
-    roll_std,
-    roll_z,
     run_length,
 )
 
@@ -48,16 +47,21 @@ def add_shape(bars: DataFrame) -> DataFrame:
 
 def add_rolling(frame: DataFrame, lengths: tuple[int, ...] = ROLL_BARS) -> DataFrame:
     """Volatility, close / volume z-scores and mean traded value; needs ret_1 and dollar_volume."""
-    w = by_symbol()
-    v = F.nullif(F.col("volume"), F.lit(0.0))
+    series = {
+        "ret": Series(F.col("ret_1")),
+        "close": Series(F.col("close"), centre=True),
+        "volume": Series(F.nullif(F.col("volume"), F.lit(0.0))),
+        "value": Series(F.col("dollar_volume"), squares=False),
+    }
+    roll = Rolling(frame, by_symbol(), series, lengths)
     out = {}
     for n in lengths:
         half, third = max(5, n // 2), max(5, n // 3)
-        out[f"volatility_{n}"] = roll_std(F.col("ret_1"), w, n, half)
-        out[f"z_close_{n}"] = roll_z(F.col("close"), w, n, third)
-        out[f"z_volume_{n}"] = roll_z(v, w, n, third)
-        out[f"dollar_volume_mean_{n}"] = roll_mean(F.col("dollar_volume"), w, n, third)
-    return frame.withColumns(out)
+        out[f"volatility_{n}"] = roll.std("ret", n, half)
+        out[f"z_close_{n}"] = roll.z("close", n, third)
+        out[f"z_volume_{n}"] = roll.z("volume", n, third)
+        out[f"dollar_volume_mean_{n}"] = roll.mean("value", n, third)
+    return roll.select(out)
 
 
 def add_range_liquidity(frame: DataFrame) -> DataFrame:

@@ -140,5 +140,36 @@ TRADE_METRICS = """
 """
 
 
-def with_(*parts: str, select: str) -> str:
-    return "WITH " + ",\n".join(p.strip() for p in parts) + "\n" + select
+def recursive(name: str, source: str, columns: dict[str, tuple[str, str]]) -> str:
+    """Walk ``source`` (with row number i per symbol) bar by bar; each column is (first value, step over r and s)."""
+    first = ", ".join(f"CAST({a} AS DOUBLE) AS {c}" for c, (a, _) in columns.items())
+    step = ", ".join(f"CAST({b} AS DOUBLE) AS {c}" for c, (_, b) in columns.items())
+    names = ", ".join(columns)
+    return f"""
+{name}_walk AS (
+  SELECT symbol, i, {first} FROM {source} s WHERE i = 1
+  UNION ALL
+  SELECT s.symbol, s.i, {step} FROM {name}_walk r JOIN {source} s ON s.symbol = r.symbol AND s.i = r.i + 1),
+{name} AS (SELECT s.*, {", ".join("w." + c for c in columns)} FROM {source} s JOIN {name}_walk w ON s.symbol = w.symbol AND s.i = w.i)"""
+
+
+def ewm(x: str, out: str, alpha: float) -> tuple[str, str]:
+    """Exponential mean that starts at the first non-null value (no gaps later)."""
+    return f"s.{x}", f"CASE WHEN r.{out} IS NULL THEN s.{x} ELSE r.{out} + {alpha!r} * (s.{x} - r.{out}) END"
+
+
+def wilder(x: str, out: str, n: int) -> tuple[str, str]:
+    """Wilder mean; the source has {x}_n (running count) and {x}_m (mean of the last n)."""
+    return (
+        f"CASE WHEN {n} = 1 THEN s.{x} END",
+        f"CASE WHEN s.{x}_n < {n} THEN NULL WHEN s.{x}_n = {n} THEN s.{x}_m ELSE r.{out} + (s.{x} - r.{out}) / {n} END",
+    )
+
+
+def wilder_inputs(x: str, n: int) -> str:
+    w = "PARTITION BY symbol ORDER BY i"
+    return f"count({x}) OVER ({w} ROWS UNBOUNDED PRECEDING) AS {x}_n, avg({x}) OVER ({w} ROWS {n - 1} PRECEDING) AS {x}_m"
+
+
+def with_(*parts: str, select: str, rec: bool = False) -> str:
+    return ("WITH RECURSIVE " if rec else "WITH ") + ",\n".join(p.strip() for p in parts) + "\n" + select
