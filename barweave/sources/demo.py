@@ -6,7 +6,7 @@ a second, event-time price stream, ``orders`` for a date-only calendar.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from barweave.sources.bars import build_bars
 
@@ -152,3 +152,70 @@ def macro_long(spark: SparkSession, folder: str) -> DataFrame:
         ).alias("series"),
     )
     return long.groupBy("datetime", "series").agg(F.avg("value").alias("value"))
+
+
+def statements(spark: SparkSession, folder: str) -> dict[str, DataFrame]:
+    """Income, cash-flow and balance analogues per supplier and quarter / year."""
+    li = table(spark, folder, "lineitem")
+    price, disc, tax, qty = (F.col(c) for c in ("l_extendedprice", "l_discount", "l_tax", "l_quantity"))
+
+    def by(unit: str, columns: dict[str, Column]) -> DataFrame:
+        period = F.date_trunc(unit, "l_shipdate").alias("date")
+        return li.groupBy(F.col("l_suppkey").alias("symbol"), period).agg(*[F.sum(x).alias(n) for n, x in columns.items()])
+
+    income = {
+        "revenue": price,
+        "gross_profit": price * (1 - disc) * 0.6,
+        "operating_expenses": price * tax,
+        "depreciation": qty,
+        "net_income": price * (0.3 - disc),
+        "interest_expense": qty * 5,
+        "ebitda": price * 0.4,
+        "income_tax": price * tax * 0.5,
+        "pretax_income": price * 0.35,
+    }
+    cash = {"operating_cashflow": price * (0.25 - disc)}
+    balance = {
+        "total_equity": price * 2,
+        "total_liabilities": price * 1.5,
+        "total_debt": price * 0.8,
+        "cash": qty * 100,
+        "preferred": qty,
+    }
+    return {
+        "income": by("quarter", income),
+        "cash": by("quarter", cash),
+        "annual_income": by("year", {"revenue": price}),
+        "annual_cash": by("year", cash),
+        "balance": by("quarter", balance),
+    }
+
+
+def quotes(spark: SparkSession, folder: str) -> DataFrame:
+    """Latest price, range and two averages per supplier."""
+    bars = weekly_bars(spark, folder)
+    age = F.row_number().over(Window.partitionBy("symbol").orderBy(F.desc("datetime")))
+    close = F.col("close")
+    prices = (
+        bars.withColumn("_age", age)
+        .groupBy("symbol")
+        .agg(
+            F.max_by("close", "datetime").alias("price"),
+            F.max("high").alias("year_high"),
+            F.min("low").alias("year_low"),
+            F.avg(F.when(F.col("_age") <= 50, close)).alias("avg_50"),
+            F.avg(F.when(F.col("_age") <= 200, close)).alias("avg_200"),
+        )
+    )
+    firms = table(spark, folder, "supplier").select(
+        F.col("s_suppkey").alias("symbol"),
+        (F.col("s_acctbal") * 10000).alias("market_cap"),
+        ((F.col("s_suppkey") % 50 + 1) * 10000).cast("double").alias("shares"),
+    )
+    return firms.join(prices, "symbol")
+
+
+def benchmark_bars(spark: SparkSession, folder: str) -> DataFrame:
+    """Equal-weight mean close per week as one benchmark symbol."""
+    mean = weekly_bars(spark, folder).groupBy("datetime").agg(F.avg("close").alias("close"))
+    return mean.select(F.lit("BENCH").alias("symbol"), "datetime", "close")
