@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from barweave.functions.missing import ratio
 from barweave.operators.signals import Costs, period_metrics
@@ -24,6 +24,15 @@ MIN_GAP = 0.03
 DEFAULT_RECOMMENDATION = (0.65, 0.35)
 
 
+def tie_safe(x: Column) -> Column:
+    """Order-preserving value on which pairs that trade the same rows compare equal.
+
+    Neighbouring thresholds often let through identical rows; their sums then
+    differ only in the last bits, which must not decide between them.
+    """
+    return F.round(F.signum(x) * F.log1p(F.abs(x)), 10)
+
+
 def _side_table(rows: DataFrame, keys: list[str], grid: Sequence[float], long_side: bool, net) -> DataFrame:
     """(keys, threshold, datetime, total, n): net return sum of the rows a threshold lets through."""
     p = F.col("pred_prob_up")
@@ -71,7 +80,7 @@ def pair_periods(rows: DataFrame, keys: list[str], longs: Sequence[float], short
     )
 
 
-def _pair_metrics(periods: DataFrame, keys: list[str], interval: str) -> DataFrame:
+def pair_metrics(periods: DataFrame, keys: list[str], interval: str) -> DataFrame:
     """Risk metrics and trade counts per threshold pair."""
     pair = [*keys, "long_threshold", "short_threshold"]
     counts = periods.groupBy(*pair).agg(F.sum("n_long").alias("long_trades"), F.sum("n_short").alias("short_trades"))
@@ -93,7 +102,7 @@ def optimize_validation(
 ) -> DataFrame:
     """Best threshold pair per key by the penalised objective; the default pair when none qualifies."""
     side = min_side if min_side is not None else max(5, min_trades // 4)
-    table = _pair_metrics(pair_periods(rows, keys, longs, shorts, costs, value), keys, interval)
+    table = pair_metrics(pair_periods(rows, keys, longs, shorts, costs, value), keys, interval)
     n = F.col("long_trades") + F.col("short_trades")
     lean = F.abs(F.col("long_trades") - F.col("short_trades")) / n
     objective = (
@@ -111,7 +120,9 @@ def optimize_validation(
     best = good.groupBy(*keys).agg(
         F.max_by(
             F.struct("long_threshold", "short_threshold", "objective", "trades"),
-            F.struct(F.col("objective"), -F.col("long_threshold"), -F.col("short_threshold")),
+            F.struct(
+                tie_safe(F.col("objective")).alias("o"), (-F.col("long_threshold")).alias("l"), (-F.col("short_threshold")).alias("s")
+            ),
         ).alias("_b")
     )
     every = rows.select(*keys).distinct()
@@ -142,12 +153,13 @@ def optimize_out_of_sample(
     """Best pair by (return, annual return, sharpe, sortino, -drawdown, win rate, trades), with the current pair as baseline."""
     longs = local_grid(WIDE_LONG_GRID, current_long, 0.5, 0.95)
     shorts = local_grid(WIDE_SHORT_GRID, current_short, 0.05, 0.5)
-    table = _pair_metrics(pair_periods(rows, keys, longs, shorts, costs, value, MIN_GAP), keys, interval)
+    table = pair_metrics(pair_periods(rows, keys, longs, shorts, costs, value, MIN_GAP), keys, interval)
     n = F.col("long_trades") + F.col("short_trades")
     table = table.withColumn("trades", n).where(n >= min_trades)
+    goals = ("cumulative_return", "annualized_return", "sharpe", "sortino")
     order = F.struct(
-        "cumulative_return", "annualized_return", "sharpe", "sortino", (-F.abs("max_drawdown")).alias("dd"),
-        "win_rate_period", "trades", (-F.col("long_threshold")).alias("lt"), (-F.col("short_threshold")).alias("st"),
+        *[tie_safe(F.col(c)).alias(c) for c in goals], tie_safe(-F.abs("max_drawdown")).alias("dd"), "win_rate_period", "trades",
+        (-F.col("long_threshold")).alias("lt"), (-F.col("short_threshold")).alias("st"),
     )
     now = (F.abs(F.col("long_threshold") - current_long) < 1e-9) & (F.abs(F.col("short_threshold") - current_short) < 1e-9)
     picked = table.groupBy(*keys).agg(

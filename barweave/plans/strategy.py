@@ -273,6 +273,11 @@ def spread_summary(spark, folder):
 
 
 # ---------------------------------------------------------------- thresholds
+def tie(x):
+    """Twin of the tie-safe ordering: equal up to the last bits counts as equal."""
+    return f"round(sign({x}) * ln(1 + abs({x})), 10)"
+
+
 def grid_values(name, values):
     return f"{name} AS (SELECT unnest([{', '.join(repr(v) for v in values)}]) AS {name[0]})"
 
@@ -301,11 +306,11 @@ obj AS (
          cumulative_return + 0.2 * sharpe + 0.1 * sortino + 0.1 * win_rate_period - 0.12 * abs(max_drawdown)
          - 0.55 * abs(2 * n_long - trades) / trades - 0.01 * ln(1 + trades) AS objective
   FROM pp_metrics m JOIN nn USING (pattern, long_threshold, short_threshold)
-  WHERE trades >= 20 AND n_long >= 5 AND trades - n_long >= 5)""", select="""
+  WHERE trades >= 20 AND n_long >= 5 AND trades - n_long >= 5)""", select=f"""
 SELECT p.pattern, coalesce(long_threshold, 0.55) AS long_threshold, coalesce(short_threshold, 0.45) AS short_threshold,
        coalesce(objective, 0) AS objective, coalesce(trades, 0) AS trades
 FROM (SELECT DISTINCT pattern FROM val) p LEFT JOIN (
-  SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY pattern ORDER BY objective DESC, long_threshold, short_threshold) AS rk FROM obj) WHERE rk = 1) b
+  SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY pattern ORDER BY {tie('objective')} DESC, long_threshold, short_threshold) AS rk FROM obj) WHERE rk = 1) b
   ON p.pattern = b.pattern"""))
 def validation_thresholds(spark, folder):
     labels = lb.add_market_labels(lb.add_future_return(weekly_bars(spark, folder))).select("symbol", "datetime", "future_excess_return")
@@ -321,11 +326,11 @@ SHORTS2 = th.local_grid(th.WIDE_SHORT_GRID, 0.45, 0.05, 0.5)
        with_(*SIGNAL_PARTS, "oos AS (SELECT * FROM scored_members WHERE abs(realized_return) <= 0.25 AND datetime >= TIMESTAMP '2000-06-01')",
              grid_values("longs", LONGS2), grid_values("shorts", SHORTS2), pair_sql("realized_return", "oos", "5.0 / 10000", 0.03),
              metrics_sql("pp", "pattern, long_threshold, short_threshold"),
-             "cand AS (SELECT * FROM pp_metrics JOIN nn USING (pattern, long_threshold, short_threshold) WHERE trades >= 20)", select="""
+             "cand AS (SELECT * FROM pp_metrics JOIN nn USING (pattern, long_threshold, short_threshold) WHERE trades >= 20)", select=f"""
 SELECT pattern, long_threshold, short_threshold, trades, cumulative_return,
        cumulative_return - before AS improvement_cumulative_return
-FROM (SELECT *, row_number() OVER (PARTITION BY pattern ORDER BY cumulative_return DESC, annualized_return DESC, sharpe DESC, sortino DESC, abs(max_drawdown),
-                                   win_rate_period DESC, trades DESC, long_threshold, short_threshold) AS rk,
+FROM (SELECT *, row_number() OVER (PARTITION BY pattern ORDER BY {tie('cumulative_return')} DESC, {tie('annualized_return')} DESC, {tie('sharpe')} DESC, {tie('sortino')} DESC,
+                                   {tie('-abs(max_drawdown)')} DESC, win_rate_period DESC, trades DESC, long_threshold, short_threshold) AS rk,
              max(cumulative_return) FILTER (WHERE abs(long_threshold - 0.55) < 1e-9 AND abs(short_threshold - 0.45) < 1e-9) OVER (PARTITION BY pattern) AS before
       FROM cand) WHERE rk = 1"""))
 def oos_thresholds(spark, folder):
@@ -377,7 +382,7 @@ def top_patterns(spark, folder):
 def threshold_grid(spark, folder):
     rows = sg.drop_extreme(scored_members(spark, folder))
     periods = th.pair_periods(rows, ["pattern"], (0.55, 0.6, 0.65), (0.35, 0.4, 0.45), COSTS, "realized_return")
-    table_ = th._pair_metrics(periods, ["pattern"], "1d")
+    table_ = th.pair_metrics(periods, ["pattern"], "1d")
     return table_.withColumn("trades", F.col("long_trades") + F.col("short_trades"))
 
 
