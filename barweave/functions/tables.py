@@ -50,45 +50,39 @@ def _keep(df, keys, order, pick):
 
 
 def pct_rank(df: DataFrame, date_col: str, value_col: str, out_col: str, slices: int = 32) -> DataFrame:
-    """Average percentile rank of ``value_col`` inside each date, NULL in and NULL out.
+    return pct_ranks(df, date_col, {value_col: out_col}, slices)
 
-    Ties collapse in a grouped count first.  The distinct values of one date
-    are then cut into ``slices`` value ranges (approximate quantiles only place
-    the cuts, the ranks stay exact), so the widest cross-section is ranked by
-    many tasks instead of one.
+
+def pct_ranks(df: DataFrame, date_col: str, names: dict[str, str], slices: int = 32) -> DataFrame:
+    """Average percentile rank of columns inside each date (``{value: result}``), NULL in and NULL out.
+
+    Ties collapse in one grouped count for all columns, written once.  The
+    distinct values of one date are then cut into ``slices`` value ranges
+    (approximate quantiles only place the cuts, the ranks stay exact), so the
+    widest cross-section is ranked by many tasks instead of one.
     """
-    counts = (
-        df.where(F.col(value_col).isNotNull())
-        .groupBy(date_col, value_col)
-        .agg(F.count(F.lit(1)).alias("_n"))
-    )
+    pairs = F.array(*[F.struct(F.lit(v).alias("_c"), F.col(v).cast("double").alias("_v")) for v in names])
+    long = df.select(date_col, F.explode(pairs).alias("_p")).select(date_col, "_p._c", "_p._v")
+    counts = settle(long.where(F.col("_v").isNotNull()).groupBy(date_col, "_c", "_v").agg(F.count(F.lit(1)).alias("_n")))
     steps = F.array(*[F.lit(i / slices) for i in range(1, slices)])
-    cuts = counts.groupBy(date_col).agg(F.percentile_approx(value_col, steps, F.lit(2000)).alias("_cuts"))
-    sliced = counts.join(cuts, date_col).select(
-        date_col,
-        value_col,
-        "_n",
-        F.size(F.filter("_cuts", lambda c: c < F.col(value_col))).alias("_slice"),
-    )
-    by_date = Window.partitionBy(date_col)
-    offsets = (
-        sliced.groupBy(date_col, "_slice")
-        .agg(F.sum("_n").alias("_in_slice"))
-        .select(
-            date_col,
-            "_slice",
-            (F.sum("_in_slice").over(by_date.orderBy("_slice")) - F.col("_in_slice")).alias("_before"),
-            F.sum("_in_slice").over(by_date).alias("_total"),
-        )
+    cuts = counts.groupBy(date_col, "_c").agg(F.percentile_approx("_v", steps, F.lit(2000)).alias("_cuts"))
+    sliced = counts.join(cuts, [date_col, "_c"]).withColumn(
+        "_slice", F.size(F.filter("_cuts", lambda c: c < F.col("_v")))
     )
-    upto = F.sum("_n").over(Window.partitionBy(date_col, "_slice").orderBy(value_col))
-    ranks = (
-        sliced.withColumn("_upto", upto)
-        .join(offsets, [date_col, "_slice"])
-        .select(
-            date_col,
-            value_col,
-            ((F.col("_before") + F.col("_upto") - (F.col("_n") - 1) / 2.0) / F.col("_total")).alias(out_col),
-        )
+    by_date = Window.partitionBy(date_col, "_c")
+    in_slice = sliced.groupBy(date_col, "_c", "_slice").agg(F.sum("_n").alias("_in"))
+    offsets = in_slice.select(
+        date_col,
+        "_c",
+        "_slice",
+        (F.sum("_in").over(by_date.orderBy("_slice")) - F.col("_in")).alias("_before"),
+        F.sum("_in").over(by_date).alias("_total"),
     )
-    return df.join(ranks, [date_col, value_col], "left").select(*df.columns, out_col)
+    upto = F.sum("_n").over(Window.partitionBy(date_col, "_c", "_slice").orderBy("_v"))
+    rank = (F.col("_before") + F.col("_upto") - (F.col("_n") - 1) / 2.0) / F.col("_total")
+    ranks = sliced.withColumn("_upto", upto).join(offsets, [date_col, "_c", "_slice"]).withColumn("_rank", rank)
+    out = df
+    for value, result in names.items():
+        own = ranks.where(F.col("_c") == value).select(date_col, F.col("_v").alias(value), F.col("_rank").alias(result))
+        out = out.join(own, [date_col, value], "left")
+    return out.select(*df.columns, *names.values())

@@ -7,7 +7,7 @@ import math
 from pyspark.sql import DataFrame, Window, functions as F
 
 from barweave.functions.missing import flag_double, ratio
-from barweave.functions.tables import pct_rank, settle
+from barweave.functions.tables import pct_ranks, settle
 from barweave.functions.windows import (
     by_symbol, guarded, last_rows, pct_change, roll, roll_mean, roll_median, roll_std, roll_sum,
 )
@@ -104,10 +104,7 @@ def add_flow_shock(frame: DataFrame) -> DataFrame:
 
 def add_cross_ranks(frame: DataFrame, names: tuple[str, ...] = ("ret_5", "ret_20", "volatility_20")) -> DataFrame:
     """cs_rank_<name> for every listed column that is present."""
-    for name in names:
-        if name in frame.columns:
-            frame = pct_rank(frame, "datetime", name, f"cs_rank_{name}")
-    return frame
+    return pct_ranks(frame, "datetime", {n: f"cs_rank_{n}" for n in names if n in frame.columns})
 
 
 def add_calendar(frame: DataFrame) -> DataFrame:

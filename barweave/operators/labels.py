@@ -67,23 +67,22 @@ def split_cutoff(frame: DataFrame, train_share: float = 0.8) -> DataFrame:
     Works on the distinct dates only, which the calendar bounds.
     """
     dates = frame.select("datetime").where(F.col("datetime").isNotNull()).distinct()
-    numbered = dates.select("datetime", (F.row_number().over(Window.orderBy("datetime")) - 1).alias("_i"))
-    sizes = dates.agg(F.count(F.lit(1)).alias("_n"))
-    at = F.greatest(F.lit(1), F.least(F.floor(F.col("_n") * train_share), F.col("_n") - 1))
-    return (
-        numbered.crossJoin(F.broadcast(sizes))  # one row
-        .where((F.col("_n") >= 2) & (F.col("_i") == at))
-        .agg(F.min("datetime").alias("cutoff"))
+    w = Window.orderBy("datetime")  # one row per date
+    whole = w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    numbered = dates.select(
+        "datetime", (F.row_number().over(w) - 1).alias("_i"), F.count(F.lit(1)).over(whole).alias("_n")
     )
+    at = F.greatest(F.lit(1), F.least(F.floor(F.col("_n") * train_share), F.col("_n") - 1))
+    return numbered.where((F.col("_n") >= 2) & (F.col("_i") == at)).agg(F.min("datetime").alias("cutoff"))
 
 
-def chronological_split(frame: DataFrame, train_share: float = 0.8) -> DataFrame:
+def chronological_split(frame: DataFrame, train_share: float = 0.8, dates: DataFrame | None = None) -> DataFrame:
     """``split`` = train / test by date; rows of one date never straddle the cut.
 
-    A frame with a single date has no date to cut at; its last share by symbol
-    order becomes the test part.
+    ``dates`` may name a cheaper source of the same dates, so that a long plan
+    is not run once more just to find the cut.
     """
-    cut = F.broadcast(split_cutoff(frame, train_share))  # one row
+    cut = F.broadcast(settle(split_cutoff(frame if dates is None else dates, train_share)))  # one row
     dated = frame.crossJoin(cut).withColumn(
         "split", F.when(F.col("datetime") >= F.col("cutoff"), "test").otherwise("train")
     )
