@@ -7,7 +7,7 @@ a symbol has: raw prints are combined map-side before they meet.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F, types as T
 
 from barweave.functions.missing import finite, ratio
 from barweave.functions.tables import keep_first
@@ -17,7 +17,9 @@ OHLCV = ("open", "high", "low", "close", "volume")
 
 def scan_bars(spark: SparkSession, path: str, interval: str | None = None, symbols: list[str] | None = None) -> DataFrame:
     """Read a bar store; ``interval`` prunes partitions, ``symbols`` is pushed to the files."""
-    bars = spark.read.parquet(path)
+    # the interval is declared as text: inference would read "1d" as the number 1.0
+    found = spark.read.parquet(path).drop("interval").schema
+    bars = spark.read.schema(T.StructType([*found.fields, T.StructField("interval", T.StringType())])).parquet(path)
     if interval is not None:
         bars = bars.where(F.col("interval") == interval)
     if symbols is not None:
