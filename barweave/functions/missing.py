@@ -7,7 +7,8 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 def finite(x: Column) -> Column:
     """NaN and +-infinity become NULL."""
-    return F.when(F.isnan(x) | (F.abs(x) == F.lit(float("inf"))), None).otherwise(x)
+    # NaN sorts above infinity, so one comparison rules out both
+    return F.when(F.abs(x) < F.lit(float("inf")), x)
 
 
 def finite_frame(df: DataFrame) -> DataFrame:
