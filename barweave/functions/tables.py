@@ -9,11 +9,20 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """Folder every executor can reach: the cluster's ``spark.checkpoint.dir`` or, unset, a scratch one."""
+    """Folder every executor can reach: the cluster's ``spark.checkpoint.dir``.
+
+    Unset, a session that runs in one process gets a scratch folder of its own;
+    on a cluster no folder can be guessed, so an error is raised.  What is
+    written there lies under ``side/`` and ``llm/``; it belongs to the job and
+    may be removed when its results have been stored.
+    """
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
         folder = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if not folder:
+        master = spark.sparkContext.master
+        if master.startswith("local-cluster") or not master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         folder = tempfile.mkdtemp(prefix="barweave-")
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder.rstrip("/")
