@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe_sql, packing, wavelet
+from . import bpe_sql, html_text, packing, pii, quality, wavelet
 from .common import load
 
 
@@ -17,11 +17,24 @@ def op1_wavelet_matrix(spark: SparkSession, folder: str) -> DataFrame:
     return out.select("doc_id", "start", "n_tokens", "ids_crc32")
 
 
+def op2_main_text(spark: SparkSession, folder: str) -> DataFrame:
+    return html_text.extract(load(spark, folder, "pages"))
+
+
 def op4_byte_bpe(spark: SparkSession, folder: str) -> DataFrame:
     docs = load(spark, folder, "documents")
     return bpe_sql.encode_decode_digest(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+def op8_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
+    return quality.judge(load(spark, folder, "documents"), load(spark, folder, "labels")).drop("text")
+
+
+def op9_personal_data(spark: SparkSession, folder: str) -> DataFrame:
+    spans, _ = pii.find(load(spark, folder, "documents"))
+    return pii.digest(spans)
+
+
 def op10_best_fit_packing(spark: SparkSession, folder: str) -> DataFrame:
     docs = load(spark, folder, "documents")
     return packing.pack(packing.tokenised_pieces(docs, public_tokenizers.path("byte_bpe_50k.json")))
@@ -29,7 +42,10 @@ def op10_best_fit_packing(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_wavelet_matrix": op1_wavelet_matrix,
+    "op2_main_text": op2_main_text,
     "op4_byte_bpe": op4_byte_bpe,
+    "op8_quality_rules": op8_quality_rules,
+    "op9_personal_data": op9_personal_data,
     "op10_best_fit_packing": op10_best_fit_packing,
 }
 
