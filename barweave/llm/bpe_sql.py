@@ -26,10 +26,16 @@ QUERY_ROWS = 400_000
 
 MERGES = """
 CREATE TABLE merges AS
-SELECT a.id AS l, b.id AS r, v.id AS new_id
+SELECT a.id AS l, b.id AS r, v.id::BIGINT AS new_id
 FROM (SELECT id, tok, unnest(range(1, length(tok))) AS k FROM vocab) v
 JOIN vocab a ON a.tok = left(v.tok, v.k) JOIN vocab b ON b.tok = substr(v.tok, v.k + 1)
 """
+SAFE = """
+CREATE OR REPLACE TABLE merges AS
+SELECT *, new_id NOT IN (
+  SELECT l FROM merges WHERE new_id < l UNION SELECT r FROM merges WHERE new_id < r
+) AS safe FROM merges
+"""
 
 # A lower id is a lower rank, so rank, result and position of a pair are one number.
 # Each turn looks at a piece once, in order: what a row is after the contraction, and what follows it.
@@ -38,8 +44,8 @@ WITH RECURSIVE step AS (
   SELECT word, pos, id, next_id, 0::SMALLINT AS turn FROM letters
   UNION ALL
   SELECT word, pos,
-    CASE WHEN mine = best THEN best >> 32 ELSE id END,
-    CASE WHEN mine = best THEN id_2 WHEN mine_1 = best THEN best >> 32 ELSE next_id END,
+    CASE WHEN mine = best THEN (best >> 32)::INT ELSE id END,
+    CASE WHEN mine = best THEN id_2 WHEN mine_1 = best THEN (best >> 32)::INT ELSE next_id END,
     (turn + 1)::SMALLINT
   FROM (
     SELECT word, pos, id, next_id, turn, mine, min(mine) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS best,
@@ -57,6 +63,41 @@ FROM (SELECT word, pos, id, turn, max(turn) OVER (PARTITION BY word) AS last FRO
 WHERE turn = last GROUP BY word ORDER BY word
 """
 
+# Pieces beyond LONG bytes: a turn contracts, from the left, every occurrence of the least pair if no pair with its
+# result ranks lower (`safe`), which gives what single contractions give; a query stops after TURNS turns, so that
+# what the recursion has gathered stays a small multiple of the piece, and the caller goes on from its last turn.
+LONG, TURNS = 64, 12
+ENCODE_LONG = """
+WITH RECURSIVE step AS (
+  SELECT word, pos, id, next_id, 0::SMALLINT AS turn FROM letters
+  UNION ALL
+  SELECT word, pos, CASE WHEN here THEN rank::INT ELSE id END,
+    CASE WHEN here THEN CASE WHEN here_2 THEN best::INT ELSE id_2 END WHEN here_1 THEN best::INT ELSE next_id END, (turn + 1)::SMALLINT
+  FROM (
+    SELECT *, lag(here) OVER w AS here_before, lead(here) OVER w AS here_1, lead(here, 2) OVER w AS here_2, lead(id, 2) OVER w AS id_2
+    FROM (
+      SELECT *, CASE WHEN safe THEN hit AND (n - coalesce(max(CASE WHEN hit THEN NULL ELSE n END) OVER (PARTITION BY word ORDER BY pos), 0)) % 2 = 1
+        ELSE mine = best_mine END AS here
+      FROM (
+        SELECT *, best_mine >> 32 AS best, coalesce(rank = best_mine >> 32, false) AS hit, row_number() OVER (PARTITION BY word ORDER BY pos) AS n
+        FROM (
+          SELECT *, min(mine) OVER (PARTITION BY word) AS best_mine
+          FROM (
+            SELECT s.*, m.new_id AS rank, m.safe, (m.new_id << 32) | s.pos AS mine
+            FROM step s LEFT JOIN merges m ON m.l = s.id AND m.r = s.next_id
+          )
+        )
+      )
+    )
+    WINDOW w AS (PARTITION BY word ORDER BY pos)
+  )
+  WHERE best IS NOT NULL AND here_before IS NOT TRUE AND turn < {turns}
+)
+SELECT word, pos, id, turn, lead(id) OVER (PARTITION BY word ORDER BY pos) AS next_id
+FROM (SELECT word, pos, id, turn, max(turn) OVER (PARTITION BY word) AS last FROM step)
+WHERE turn = last
+"""
+
 DECODE = """
 SELECT piece, string_agg(tok, '' ORDER BY pos) AS bytes
 FROM tokens JOIN vocab USING (id) GROUP BY piece ORDER BY piece
@@ -78,11 +119,12 @@ class SqlBpe:
         with open(path, "rb") as f:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
         self.ranks = ranks
-        self.byte_ids = np.array([ranks[bytes([b])] for b in range(256)], np.int64)
+        self.byte_ids = np.array([ranks[bytes([b])] for b in range(256)], np.int32)
         self.db = duckdb.connect(config={"threads": 1, "memory_limit": "400MB", "temp_directory": ""})
-        vocab = pa.table({"id": pa.array(ranks.values(), pa.int64()), "tok": [_as_text(t) for t in ranks]})
+        vocab = pa.table({"id": pa.array(ranks.values(), pa.int32()), "tok": [_as_text(t) for t in ranks]})
         self._load("vocab", vocab)
         self.db.execute(MERGES)
+        self.db.execute(SAFE)
 
     def _load(self, name: str, table: pa.Table) -> None:
         self.db.register("incoming", table)
@@ -100,7 +142,8 @@ class SqlBpe:
         raw = [w.encode() for w in words]
         start = rows = 0
         for i, r in enumerate([*raw, b""]):
-            if i == len(raw) or rows and rows + len(r) > QUERY_ROWS:
+            # long pieces, each in a query of its own, stand apart
+            if i == len(raw) or rows and (rows + len(r) > QUERY_ROWS or len(r) > LONG or len(raw[i - 1]) > LONG):
                 out += self._contract(raw[start:i])
                 start, rows = i, 0
             rows += len(r)
@@ -115,9 +158,17 @@ class SqlBpe:
         last = np.zeros(len(ids), bool)
         last[ends - 1] = True
         word = np.repeat(np.arange(len(raw), dtype=np.int32), lengths)
-        pos = np.arange(len(ids)) - np.repeat(ends - lengths, lengths)
+        pos = (np.arange(len(ids)) - np.repeat(ends - lengths, lengths)).astype(np.int32)
         self._load("letters", pa.table({"word": word, "pos": pos, "id": ids, "next_id": pa.array(np.append(ids[1:], 0), mask=last)}))
-        return self.db.sql(ENCODE).to_arrow_table().column("ids").to_pylist()
+        if len(raw[0]) <= LONG:
+            return self.db.sql(ENCODE).to_arrow_table().column("ids").to_pylist()
+        done: dict[int, list[int]] = {}
+        while len(done) < len(raw):
+            self.db.execute("CREATE OR REPLACE TABLE reached AS " + ENCODE_LONG.format(turns=TURNS))
+            ended = f"SELECT word, list(id ORDER BY pos) AS ids FROM reached WHERE turn < {TURNS} GROUP BY word"
+            done.update(self.db.sql(ended).fetchall())
+            self.db.execute(f"CREATE OR REPLACE TABLE letters AS SELECT word, pos, id, next_id FROM reached WHERE turn = {TURNS}")
+        return [done[i] for i in range(len(raw))]
 
     def decode(self, ids: np.ndarray, lengths: np.ndarray) -> list[bytes]:
         """Bytes of each id run; runs lie behind each other in ``ids``."""
@@ -128,7 +179,7 @@ class SqlBpe:
         parts = [b""] * int(n_parts.sum())
         for s in range(0, len(ids), QUERY_ROWS):
             e = s + QUERY_ROWS
-            self._load("tokens", pa.table({"piece": piece[s:e], "pos": pos[s:e], "id": ids[s:e].astype(np.int64)}))
+            self._load("tokens", pa.table({"piece": piece[s:e], "pos": pos[s:e], "id": ids[s:e].astype(np.int32)}))
             got = self.db.sql(DECODE).to_arrow_table()
             for k, text in zip(got.column("piece").to_pylist(), got.column("bytes").to_pylist()):
                 # two loads may share the piece at their border
@@ -141,7 +192,7 @@ class SqlBpe:
 def _model(path: str, pattern: str) -> tuple[SqlBpe, UnitCoder]:
     """One model, and one bounded memo of units, for all tasks of a Python worker."""
     model = SqlBpe(path)
-    return model, UnitCoder(_unit_encoder(model, pattern))
+    return model, UnitCoder(_unit_encoder(model, pattern), limit=1_000_000)
 
 
 def _unit_encoder(model: SqlBpe, pattern: str):
@@ -166,7 +217,7 @@ DIGEST = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
 def _run(df: DataFrame, ranks: str, pattern: str, schema: str, shape, id_col: str, text_col: str) -> DataFrame:
     def work(batches):
         model, coder = _model(ranks, pattern)
-        for batch in steps(batches, "text", 1 << 20):
+        for batch in steps(batches, "text"):
             ids, lengths = coder.encode([byte_level_units(t) for t in batch.column("text").to_pylist()])
             decoded = model.decode(ids, lengths)
             runs = np.split(ids, np.cumsum(lengths)[:-1])

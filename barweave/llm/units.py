@@ -6,6 +6,7 @@ import os
 import re
 
 _TWO_SPACES = re.compile(r"\s\s")
+_STOPS = frozenset(",.")
 _LONE_SPACE = re.compile(r"(?<=\S) (?=\S)")
 
 
@@ -27,10 +28,15 @@ def byte_level_units(text: str) -> list[str]:
     for i, line in enumerate(text.split("\n")):
         if i:
             units.append("\n")
-        first, *rest = line.split(" ")
-        if first:
-            units.append(first)
-        units += [" " + w for w in rest]
+        lead = ""
+        for w in line.split(" "):
+            # a comma or full stop behind a letter is a piece of its own, and shared by many words
+            if w[-1:] in _STOPS and "A" <= w[-2:-1] <= "\u024f" and w[-2].isalpha():
+                units.append(lead + w[:-1])
+                units.append(w[-1])
+            elif w or lead:
+                units.append(lead + w)
+            lead = " "
     return units
 
 
