@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe_sql, html_text, packing, pii, quality, simhash, wavelet
+from . import ann, bpe_sql, html_text, packing, pii, quality, simhash, wavelet
 from .common import load
 
 
@@ -26,6 +26,10 @@ def op4_byte_bpe(spark: SparkSession, folder: str) -> DataFrame:
     return bpe_sql.encode_decode_digest(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+def op5_prefix_forest(spark: SparkSession, folder: str) -> DataFrame:
+    return ann.search(load(spark, folder, "embeddings"))
+
+
 def op7_simhash(spark: SparkSession, folder: str) -> DataFrame:
     out = simhash.near_duplicates(load(spark, folder, "documents"))
     return out.select("doc_id", simhash.hex_digits(out["fp"]).alias("fingerprint"), "component_id")
@@ -49,6 +53,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_wavelet_matrix": op1_wavelet_matrix,
     "op2_main_text": op2_main_text,
     "op4_byte_bpe": op4_byte_bpe,
+    "op5_prefix_forest": op5_prefix_forest,
     "op7_simhash": op7_simhash,
     "op8_quality_rules": op8_quality_rules,
     "op9_personal_data": op9_personal_data,
