@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import ann, bpe_sql, html_text, packing, pii, quality, simhash, wavelet
+from . import ann, bpe_sql, html_text, packing, pii, quality, simhash, substrings, wavelet
 from .common import load
 
 
@@ -30,6 +30,10 @@ def op5_prefix_forest(spark: SparkSession, folder: str) -> DataFrame:
     return ann.search(load(spark, folder, "embeddings"))
 
 
+def op6_suffix_arrays(spark: SparkSession, folder: str) -> DataFrame:
+    return substrings.remove_repeats(load(spark, folder, "documents"), digest=True)
+
+
 def op7_simhash(spark: SparkSession, folder: str) -> DataFrame:
     out = simhash.near_duplicates(load(spark, folder, "documents"))
     return out.select("doc_id", simhash.hex_digits(out["fp"]).alias("fingerprint"), "component_id")
@@ -54,6 +58,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_main_text": op2_main_text,
     "op4_byte_bpe": op4_byte_bpe,
     "op5_prefix_forest": op5_prefix_forest,
+    "op6_suffix_arrays": op6_suffix_arrays,
     "op7_simhash": op7_simhash,
     "op8_quality_rules": op8_quality_rules,
     "op9_personal_data": op9_personal_data,
