@@ -58,9 +58,8 @@ WITH RECURSIVE step AS (
   )
   WHERE best IS NOT NULL AND mine_before IS DISTINCT FROM best
 )
-SELECT word, list(id ORDER BY pos) AS ids
-FROM (SELECT word, pos, id, turn, max(turn) OVER (PARTITION BY word) AS last FROM step)
-WHERE turn = last GROUP BY word ORDER BY word
+, turns AS MATERIALIZED (FROM step)
+SELECT word, id FROM turns JOIN (SELECT word, max(turn) AS turn FROM turns GROUP BY word) USING (word, turn) ORDER BY word, pos
 """
 
 # Pieces beyond LONG bytes: a turn contracts, from the left, every occurrence of the least pair if no pair with its
@@ -131,27 +130,31 @@ class SqlBpe:
         self.db.execute(f"CREATE OR REPLACE TABLE {name} AS SELECT * FROM incoming")
         self.db.unregister("incoming")
 
-    def encode_words(self, words: list[str]) -> list[list[int]]:
-        """Ids of each word; a word is contracted apart from the others."""
-        if whole := {w: self.ranks[r] for w in words if (r := w.encode()) in self.ranks}:
-            # a piece that is a token is not contracted, as in the library
-            rest = [w for w in words if w not in whole]
-            found = dict(zip(rest, self.encode_words(rest)))
-            return [[whole[w]] if w in whole else found[w] for w in words]
-        out: list[list[int]] = []
+    def encode_words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all words behind each other, and how many each has; a word is contracted apart from the others."""
         raw = [w.encode() for w in words]
+        # a piece that is a token is not contracted, as in the library
+        whole = np.array([self.ranks.get(r, -1) for r in raw], np.int64)
+        rest = np.flatnonzero(whole < 0)
+        parts, counts = [], np.ones(len(raw), np.int64)
         start = rows = 0
-        for i, r in enumerate([*raw, b""]):
+        for i in range(len(rest) + 1):
+            n = len(raw[rest[i]]) if i < len(rest) else 0
             # long pieces, each in a query of its own, stand apart
-            if i == len(raw) or rows and (rows + len(r) > QUERY_ROWS or len(r) > LONG or len(raw[i - 1]) > LONG):
-                out += self._contract(raw[start:i])
+            if i == len(rest) or rows and (rows + n > QUERY_ROWS or n > LONG or len(raw[rest[i - 1]]) > LONG):
+                if i > start:
+                    ids, each = self._contract([raw[k] for k in rest[start:i]])
+                    parts.append(ids)
+                    counts[rest[start:i]] = each
                 start, rows = i, 0
-            rows += len(r)
-        return out
-
-    def _contract(self, raw: list[bytes]) -> list[list[int]]:
-        if not raw:
-            return []
+            rows += n
+        flat = np.empty(int(counts.sum()), np.uint32)
+        contracted = np.repeat(whole < 0, counts)
+        flat[contracted] = np.concatenate(parts) if parts else []
+        flat[~contracted] = whole[whole >= 0]
+        return flat, counts
+
+    def _contract(self, raw: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         lengths = np.array([len(r) for r in raw], np.int64)
         ends = np.cumsum(lengths)
         ids = self.byte_ids[np.frombuffer(b"".join(raw), np.uint8)]
@@ -161,14 +164,15 @@ class SqlBpe:
         pos = (np.arange(len(ids)) - np.repeat(ends - lengths, lengths)).astype(np.int32)
         self._load("letters", pa.table({"word": word, "pos": pos, "id": ids, "next_id": pa.array(np.append(ids[1:], 0), mask=last)}))
         if len(raw[0]) <= LONG:
-            return self.db.sql(ENCODE).to_arrow_table().column("ids").to_pylist()
-        done: dict[int, list[int]] = {}
-        while len(done) < len(raw):
+            got = self.db.sql(ENCODE).fetchnumpy()
+            return got["id"].astype(np.uint32), np.bincount(got["word"], minlength=len(raw))
+        while True:
+            # a long piece is alone in its query
             self.db.execute("CREATE OR REPLACE TABLE reached AS " + ENCODE_LONG.format(turns=TURNS))
-            ended = f"SELECT word, list(id ORDER BY pos) AS ids FROM reached WHERE turn < {TURNS} GROUP BY word"
-            done.update(self.db.sql(ended).fetchall())
-            self.db.execute(f"CREATE OR REPLACE TABLE letters AS SELECT word, pos, id, next_id FROM reached WHERE turn = {TURNS}")
-        return [done[i] for i in range(len(raw))]
+            got = self.db.sql("SELECT id, turn FROM reached ORDER BY pos").fetchnumpy()
+            if got["turn"][0] < TURNS:
+                return got["id"].astype(np.uint32), np.array([len(got["id"])])
+            self.db.execute("CREATE OR REPLACE TABLE letters AS SELECT word, pos, id, next_id FROM reached")
 
     def decode(self, ids: np.ndarray, lengths: np.ndarray) -> list[bytes]:
         """Bytes of each id run; runs lie behind each other in ``ids``."""
@@ -201,11 +205,18 @@ def _unit_encoder(model: SqlBpe, pattern: str):
 
     cut = regex.compile(pattern).findall
 
-    def encode(units: list[str]) -> list[list[int]]:
+    def encode(units: list[str]) -> tuple[np.ndarray, np.ndarray]:
         split = [cut(u) for u in units]
-        words = list(dict.fromkeys(w for x in split for w in x))
-        ids = dict(zip(words, model.encode_words(words)))
-        return [[t for w in x for t in ids[w]] for x in split]
+        number: dict[str, int] = {}
+        at = np.array([number.setdefault(w, len(number)) for x in split for w in x], np.int64)
+        flat, counts = model.encode_words(list(number))
+        first = np.cumsum(counts) - counts
+        # words of a unit, and the units' bounds in words and in ids
+        bounds = np.cumsum([0, *map(len, split)])
+        sizes = counts[at]
+        ends = np.concatenate([[0], np.cumsum(sizes)])
+        ids = flat[np.repeat(first[at] - ends[:-1], sizes) + np.arange(ends[-1])]
+        return ids, np.diff(ends[bounds])
 
     return encode
 

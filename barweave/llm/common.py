@@ -7,7 +7,7 @@ from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..functions.tables import shared_folder
 
@@ -19,11 +19,13 @@ def load(spark: SparkSession, folder: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{table}.parquet")
 
 
+def id_text_columns(id_col: str = "doc_id", text_col: str = "text") -> list[Column]:
+    return [F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("text")]
+
+
 def id_text(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id`` and ``text`` alone, a null text as the empty one; other columns, whatever their names, stay behind."""
-    return df.select(
-        F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("text")
-    )
+    return df.select(*id_text_columns(id_col, text_col))
 
 
 def new_path(spark: SparkSession, label: str) -> str:
@@ -74,12 +76,12 @@ def arrow_type(schema: str) -> pa.Schema:
 class UnitCoder:
     """Encode lists of text units through a bounded memo of the units seen.
 
-    ``encode_many`` turns distinct units into id lists.  Natural text repeats
+    ``encode_many`` turns distinct units into all their ids and the number of each.  Natural text repeats
     its words, so most units are looked up; the memo is emptied once it holds
     ``limit`` units, which bounds memory and never changes a result.
     """
 
-    def __init__(self, encode_many: Callable[[list[str]], list[list[int]]], limit: int = 300_000):
+    def __init__(self, encode_many: Callable[[list[str]], tuple[np.ndarray, np.ndarray]], limit: int = 300_000):
         self.encode_many, self.limit = encode_many, limit
         self._reset()
 
@@ -93,10 +95,8 @@ class UnitCoder:
         fresh = [u for u in dict.fromkeys(units) if u not in known]
         if not fresh:
             return
-        ids = self.encode_many(fresh)
+        tail, lengths = self.encode_many(fresh)
         known.update(zip(fresh, range(len(known), len(known) + len(fresh))))
-        lengths = np.fromiter(map(len, ids), np.int64, len(ids))
-        tail = np.fromiter((t for x in ids for t in x), np.uint32, int(lengths.sum()))
         self.offsets = np.concatenate([self.offsets, self.offsets[-1] + np.cumsum(lengths)])
         self.flat = np.concatenate([self.flat, tail])
 

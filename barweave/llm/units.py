@@ -4,6 +4,9 @@ from __future__ import annotations
 
 import os
 import re
+from itertools import chain
+
+import numpy as np
 
 _TWO_SPACES = re.compile(r"\s\s")
 _STOPS = frozenset(",.")
@@ -47,4 +50,9 @@ def library_encoder(path: str):
 
     model = Tokenizer.from_file(path)
     model.encode_special_tokens = True
-    return lambda units: [e.ids for e in model.encode_batch_fast(units, add_special_tokens=False)]
+
+    def encode(units: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        ids = [e.ids for e in model.encode_batch_fast(units, add_special_tokens=False)]
+        return np.fromiter(chain.from_iterable(ids), np.uint32), np.fromiter(map(len, ids), np.int64, len(ids))
+
+    return encode
