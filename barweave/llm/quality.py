@@ -13,7 +13,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import id_text
+from .common import id_text, id_text_columns
 
 #: White space of the word definition.
 SPACE = "[\\x20\\x09-\\x0D]+"
@@ -82,16 +82,23 @@ def windows(w: Column) -> Column:
     ).otherwise(F.array().cast("array<bigint>"))
 
 
-def base_counts(df: DataFrame, config: QualityConfig = QualityConfig(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def base_counts(
+    df: DataFrame, config: QualityConfig = QualityConfig(), id_col: str = "doc_id", text_col: str = "text", keep: bool = False
+) -> DataFrame:
     """``doc_id, text, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed`` of every row.
 
     Null and empty texts have no words and fail.  Repeated rows stay; other
-    columns are left behind.  No shuffle.
+    columns are left behind, or with ``keep`` come along in a struct ``_row``.
+    No shuffle.
     """
     text = F.col("text")
-    counted = id_text(df, id_col, text_col).withColumn("_w", words(text)).withColumn("_h", windows(F.col("_w")))
+    rows = id_text(df, id_col, text_col)
+    if keep:
+        rows = df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("_row"), *id_text_columns(id_col, text_col))
+    counted = rows.withColumn("_w", words(text)).withColumn("_h", windows(F.col("_w")))
     lines = F.filter(F.split(text, "\n", -1), lambda x: x.rlike("[^\\x20\\x09-\\x0D]"))
     counted = counted.select(
+        *(["_row"] if keep else []),
         "doc_id",
         "text",
         "_w",
@@ -138,7 +145,9 @@ def bucket_weights(df: DataFrame, labels: DataFrame, config: QualityConfig = Qua
         .select("_id")
     )
     docs = id_text(df, id_col, text_col).join(F.broadcast(good), F.col("doc_id") == F.col("_id"), "left")
-    seen = docs.select(F.explode(_features(words(F.col("text")), config.buckets)).alias("bucket"), F.col("_id").isNotNull().cast("long").alias("hit"))
+    # the words are a column of their own: inside a lambda they would be cut out again for each place
+    split = docs.select(words(F.col("text")).alias("_w"), F.col("_id").isNotNull().cast("long").alias("hit"))
+    seen = split.select(F.explode(_features(F.col("_w"), config.buckets)).alias("bucket"), "hit")
     counts = seen.groupBy("bucket").agg(F.count(F.lit(1)).alias("raw"), F.sum("hit").alias("target"))
     every = df.sparkSession.range(config.buckets).select(F.col("id").cast("int").alias("bucket"))
     counts = every.join(counts, "bucket", "left").na.fill(0, ["raw", "target"])
@@ -160,13 +169,20 @@ def score(w: Column, weights: list[float], buckets: int) -> Column:
     return F.when(F.size(w) > 0, total / (2 * F.size(w) - 1)).otherwise(F.lit(0.0))
 
 
-def judge(df: DataFrame, labels: DataFrame, config: QualityConfig = QualityConfig(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Base counts, ``score`` and ``kept`` of every document.
+def judge(
+    df: DataFrame,
+    labels: DataFrame,
+    config: QualityConfig = QualityConfig(),
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    keep: bool = False,
+) -> DataFrame:
+    """Base counts, ``score`` and ``kept`` of every document; with ``keep`` the input row too, as struct ``_row``.
 
     The weights, one per bucket whatever the corpus, are fetched once and ride
     in the plan as a constant.
     """
     rows = bucket_weights(df, labels, config, id_col, text_col).orderBy("bucket").collect()
     weights = [r["weight"] for r in rows]
-    judged = base_counts(df, config, id_col, text_col).withColumn("score", score(F.col("_w"), weights, config.buckets))
+    judged = base_counts(df, config, id_col, text_col, keep).withColumn("score", score(F.col("_w"), weights, config.buckets))
     return judged.withColumn("kept", ~F.col("base_failed") & (F.col("score") >= config.threshold)).drop("_w")
