@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import ann, bpe_sql, html_text, packing, pii, quality, simhash, substrings, wavelet
+from . import ann, bpe_sql, html_text, packing, pii, quality, simhash, substrings, urls, wavelet
 from .common import load
 
 
@@ -21,6 +21,10 @@ def op2_main_text(spark: SparkSession, folder: str) -> DataFrame:
     return html_text.extract(load(spark, folder, "pages"))
 
 
+def op3_url_templates(spark: SparkSession, folder: str) -> DataFrame:
+    return urls.judge(load(spark, folder, "pages")).drop("template")
+
+
 def op4_byte_bpe(spark: SparkSession, folder: str) -> DataFrame:
     docs = load(spark, folder, "documents")
     return bpe_sql.encode_decode_digest(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
@@ -56,6 +60,7 @@ def op10_best_fit_packing(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_wavelet_matrix": op1_wavelet_matrix,
     "op2_main_text": op2_main_text,
+    "op3_url_templates": op3_url_templates,
     "op4_byte_bpe": op4_byte_bpe,
     "op5_prefix_forest": op5_prefix_forest,
     "op6_suffix_arrays": op6_suffix_arrays,
@@ -65,4 +70,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_best_fit_packing": op10_best_fit_packing,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op3_url_templates": urls.judge_sql()}
