@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, WindowSpec, functions as F
+from pyspark.sql import Column, DataFrame, Window, WindowSpec, functions as F
 
 from barweave.functions.missing import ratio
 from barweave.functions.windows import running
@@ -33,7 +33,7 @@ class Rolling:
         self._own = list(frame.columns)
         run = running(w)
         firsts = {f"_b_{n}": F.first(s.value, ignorenulls=True).over(run) for n, s in series.items() if s.centre}
-        before = w.rowsBetween(-(2**31), -1)
+        before = w.rowsBetween(Window.unboundedPreceding, -1)
         changes = {f"_p_{n}": F.last(s.value, ignorenulls=True).over(before) for n, s in series.items() if s.squares}
         out = frame.withColumns({**firsts, **changes, "_row": F.row_number().over(w)})
         totals = {}

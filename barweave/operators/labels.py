@@ -79,10 +79,15 @@ def split_cutoff(frame: DataFrame, train_share: float = 0.8) -> DataFrame:
 def chronological_split(frame: DataFrame, train_share: float = 0.8, dates: DataFrame | None = None) -> DataFrame:
     """``split`` = train / test by date; rows of one date never straddle the cut.
 
+    With fewer than two dates there is no cut, and the last rows by symbol are
+    the test part.
+
     ``dates`` may name a cheaper source of the same dates, so that a long plan
     is not run once more just to find the cut.
     """
     cut = F.broadcast(settle(split_cutoff(frame if dates is None else dates, train_share)))  # one row
+    if cut.first()["cutoff"] is None:
+        return single_date_split(frame, train_share)
     dated = frame.crossJoin(cut).withColumn(
         "split", F.when(F.col("datetime") >= F.col("cutoff"), "test").otherwise("train")
     )
@@ -124,14 +129,16 @@ def walk_forward_windows(
 ) -> DataFrame:
     """One row per window: number, train_start, test_start, test_end.
 
-    Test parts never overlap: the step is raised to the test length.
+    Test parts never overlap: the step is raised to the test length.  A window
+    starts before the last date.
     """
     step = max(step_days, test_days)
     span = frame.agg(F.min("datetime").alias("lo"), F.max("datetime").alias("hi"))
     first = F.timestamp_add("DAY", F.lit(train_days), F.col("lo"))
     starts = span.where(first <= F.col("hi")).select(
-        F.explode(F.sequence(first, F.col("hi"), F.expr(f"INTERVAL {step} DAYS"))).alias("test_start")
+        F.explode(F.sequence(first, F.col("hi"), F.expr(f"INTERVAL {step} DAYS"))).alias("test_start"), "hi"
     )
+    starts = starts.where(F.col("test_start") < F.col("hi")).select("test_start")
     windows = starts.select(
         (F.row_number().over(Window.orderBy("test_start")) - 1).alias("window_no"),
         F.timestamp_add("DAY", F.lit(-train_days), F.col("test_start")).alias("train_start"),
@@ -147,12 +154,16 @@ def walk_forward_windows(
 def assign_windows(frame: DataFrame, windows: DataFrame, embargo_interval: str = "1d", embargo_bars: int = 0) -> DataFrame:
     """Rows with the windows they train or test in (``role``); purged and embargoed.
 
-    The window list is a calendar grid (one row per step), so the range join
-    streams the rows past it.
+    A label must be known before the test part starts, or before it ends.  Each
+    window is listed under the days it spans, so rows meet only the windows of
+    their own day.
     """
+    days = F.sequence(F.to_date("train_start"), F.to_date("test_end"), F.expr("INTERVAL 1 DAY"))
+    windows = windows.withColumn("_day", F.explode(days))
     start = embargoed(F.col("test_start"), embargo_interval, embargo_bars)
     t = F.col("datetime")
-    is_test = (t >= start) & (t < F.col("test_end"))
+    is_test = (t >= start) & (t < F.col("test_end")) & (F.col("label_end_datetime") < F.col("test_end"))
     is_train = (t >= F.col("train_start")) & (t < F.col("test_start")) & (F.col("label_end_datetime") < start)
     role = F.when(is_test, "test").when(is_train, "train")
-    return frame.join(settle(windows), is_test | is_train, "inner").withColumn("role", role)
+    met = frame.withColumn("_day", F.to_date("datetime")).join(settle(windows), "_day").drop("_day")
+    return met.where(is_test | is_train).withColumn("role", role)

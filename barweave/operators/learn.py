@@ -30,13 +30,12 @@ MIN_CALIBRATION_ROWS, MIN_PLATT_ROWS = 50, 40
 META_MIN_TRADES, META_MIN_CLASS, META_LOW, META_HIGH = 120, 20, 0.5, 0.95
 CV_MIN_ROWS, CV_MIN_TRAIN = 500, 120
 FIT_SHARE = 0.8
-SCORE_DIGITS = 6
 
 
 # ---------------------------------------------------------------- preparation
 def imputer(columns: Sequence[str]) -> Imputer:
-    """Median imputation; medians come from a bounded quantile sketch, not from collected rows."""
-    return Imputer(strategy="median", inputCols=list(columns), outputCols=list(columns), relativeError=0.001)
+    """Median imputation with exact medians."""
+    return Imputer(strategy="median", inputCols=list(columns), outputCols=list(columns), relativeError=0.0)
 
 
 def impute(frame: DataFrame, columns: Sequence[str]) -> DataFrame:
@@ -183,19 +182,14 @@ def fit_stacked(train: DataFrame, columns: Sequence[str], seed: int = 42, size:
 
 # ---------------------------------------------------------------- feature choice
 def permutation_importance(
-    model: StackedModel, rows: DataFrame, max_rows: int = 3000, repeats: int = 2, buckets: int = 16
+    model: StackedModel, rows: DataFrame, repeats: int = 2, buckets: int = 16
 ) -> DataFrame:
     """Loss of ROC-AUC when one feature is shuffled, for every feature in one pass.
 
-    Works on a class-balanced sample (the operator's own parameter).  Rows swap
-    values inside hash buckets, so no global ordering is needed; every feature
-    is scored on its own copy of the sample.
+    All rows count.  They swap values inside hash buckets, so no global
+    ordering is needed; every feature is scored on its own copy of the rows.
     """
-    counts = {r.future_direction: r["count"] for r in rows.groupBy("future_direction").count().collect()}
-    total = sum(counts.values())
-    fractions = {k: min(1.0, max_rows / total) for k in counts}
-    sample = rows.sampleBy("future_direction", fractions, seed=7)
-    prepared = model.prepare.transform(sample).select("symbol", "datetime", "future_direction", vector_to_array("features").alias("_x"))
+    prepared = model.prepare.transform(rows).select("symbol", "datetime", "future_direction", vector_to_array("features").alias("_x"))
     prepared = settle(prepared.withColumn("_bucket", F.pmod(F.xxhash64("symbol", "datetime"), F.lit(buckets))))
     names = F.array(*[F.lit(c) for c in model.columns])
     home = Window.partitionBy("_bucket").orderBy("symbol", "datetime")
@@ -268,7 +262,7 @@ def stability_support(frame: DataFrame, columns: Sequence[str], top_n: int, fold
     contexts = [F.col("fold") < k for k in range(1, folds + 1)]
     regime = next((c for c in ("market_volatility_20", "volatility_20") if c in columns), None)
     if regime:
-        middle = rows.agg(F.percentile_approx(regime, 0.5, 10_000)).first()[0]
+        middle = rows.agg(F.percentile(regime, F.lit(0.5))).first()[0]
         contexts += [F.col(regime) <= middle, F.col(regime) > middle]
     votes = {c: 0 for c in columns}
     used = 0
@@ -368,24 +362,34 @@ def fit_meta_filter(rows: DataFrame, columns: Sequence[str], costs: Costs, thres
 
 
 # ---------------------------------------------------------------- scores
-def binary_metrics(scored: DataFrame, keys: Sequence[str], label: str, prob: str, cut: float = 0.5) -> DataFrame:
+def binary_metrics(scored: DataFrame, keys: Sequence[str], label: str, prob: str, cut: float = 0.5, slices: int = 32) -> DataFrame:
     """accuracy, precision, recall, f1, roc_auc per key.
 
-    Scores are counted at a resolution of 1e-6 first, so the ranking behind the
-    AUC orders at most a million score levels per key, whatever the rows.
+    Rows with one score are counted together first.  The distinct scores of a
+    key are then cut into ``slices`` value ranges, each ranked on its own and
+    put behind the counts of the lower ones, so no key lands whole in a task
+    (approximate quantiles only place the cuts, the ranks stay exact).
     """
     keys = list(keys)
     y, p = F.col(label).cast("double"), F.col(prob)
-    levels = scored.where(y.isNotNull() & p.isNotNull()).groupBy(*keys, F.round(p, SCORE_DIGITS).alias("_level")).agg(
+    levels = scored.where(y.isNotNull() & p.isNotNull()).groupBy(*keys, p.cast("double").alias("_level")).agg(
         F.sum(y).alias("_pos"),
         F.count(F.lit(1)).cast("double").alias("_n"),
         F.sum((p >= cut).cast("double")).alias("_up"),
         F.sum(((p >= cut) & (y == 1)).cast("double")).alias("_hit"),
     )
-    w = Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0))
-    below = F.coalesce(F.sum(F.col("_n") - F.col("_pos")).over(w.orderBy("_level").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
-    won = F.col("_pos") * (below + (F.col("_n") - F.col("_pos")) / 2.0)
-    totals = levels.withColumn("_won", won).groupBy(*keys).agg(
+    levels = settle(levels.withColumn("_one", F.lit(0)))
+    by = [*keys, "_one"]
+    steps = F.array(*[F.lit(i / slices) for i in range(1, slices)])
+    cuts = levels.groupBy(*by).agg(F.percentile_approx("_level", steps, F.lit(2000)).alias("_cuts"))
+    sliced = levels.join(cuts, by).withColumn("_slice", F.size(F.filter("_cuts", lambda c: c < F.col("_level")))).drop("_cuts")
+    lost = F.col("_n") - F.col("_pos")
+    lower = sliced.groupBy(*by, "_slice").agg(F.sum(lost).alias("_in"))
+    lower = lower.withColumn("_before", F.sum("_in").over(Window.partitionBy(*by).orderBy("_slice")) - F.col("_in")).drop("_in")
+    inside = Window.partitionBy(*by, "_slice").orderBy("_level").rowsBetween(Window.unboundedPreceding, -1)
+    ranked = sliced.withColumn("_under", F.coalesce(F.sum(lost).over(inside), F.lit(0.0))).join(lower, [*by, "_slice"])
+    won = F.col("_pos") * (F.col("_before") + F.col("_under") + lost / 2.0)
+    totals = ranked.withColumn("_won", won).groupBy(*keys).agg(
         *[F.sum(c).alias(c) for c in ("_pos", "_n", "_up", "_hit", "_won")]
     )
     n, pos, up, hit = (F.col(c) for c in ("_n", "_pos", "_up", "_hit"))
@@ -466,14 +470,18 @@ def _two_classes(frame: DataFrame) -> bool:
     return low is not None and low != high
 
 
-def fit_pattern(train: DataFrame, test: DataFrame, columns: Sequence[str], config: TrainConfig) -> tuple[DataFrame, dict] | None:
-    """Select, fit, calibrate, tune and filter one model; returns the scored test rows and its facts."""
+def fit_pattern(train: DataFrame, test: DataFrame, columns: Sequence[str], config: TrainConfig) -> tuple[DataFrame, dict] | str:
+    """Select, fit, calibrate, tune and filter one model; returns the scored test rows and its facts, or why there is none."""
     train, test = settle(train), settle(test)
-    if train.limit(config.min_rows).count() < config.min_rows or not _two_classes(train) or not _two_classes(test):
-        return None
+    if train.limit(config.min_rows).count() < config.min_rows:
+        return f"fewer than {config.min_rows} training rows"
+    if not _two_classes(train):
+        return "one class in the training rows"
+    if not _two_classes(test):
+        return "one class or no row in the test rows"
     chosen = uncorrelated_columns(train, usable_columns(train, columns))
     if not chosen:
-        return None
+        return "no usable feature"
     cut = date_at_share(train, FIT_SHARE)
     fit = train.where(F.col("datetime") < F.lit(cut)) if cut else train
     rest = train.where(F.col("datetime") >= F.lit(cut)) if cut else train.limit(0)
@@ -485,7 +493,11 @@ def fit_pattern(train: DataFrame, test: DataFrame, columns: Sequence[str], confi
         held = settle(model.score(rest))
         calibration = fit_calibration(held)
         held = held.withColumn("pred_prob_up", calibration.apply(F.col("prob_raw")))
-        tuned = th.optimize_validation(held.withColumn("_k", F.lit("model")), ["_k"], config.costs, "future_excess_return").first()
+        n_held = held.count()
+        tuned = th.optimize_validation(
+            held.withColumn("_k", F.lit("model")), ["_k"], config.costs, "future_excess_return",
+            min_trades=max(10, int(n_held * 0.05)), min_side=max(4, int(n_held * 0.01)), exposure_penalty=0.40, imbalance_penalty=0.25,
+        ).first()
         long_at, short_at = (tuned.long_threshold, tuned.short_threshold) if tuned else (0.55, 0.45)
         side = position(F.col("pred_prob_up"), F.lit(long_at), F.lit(short_at))
         scored = model.score(test).withColumn("pred_prob_up", calibration.apply(F.col("prob_raw"))).withColumn("position", side)
@@ -505,21 +517,37 @@ def fit_pattern(train: DataFrame, test: DataFrame, columns: Sequence[str], confi
     return best[1], best[2]
 
 
+def add_training_label_end(frame: DataFrame, config: TrainConfig) -> DataFrame:
+    return lb.add_label_end(frame, config.horizon + max(0, config.embargo_bars))
+
+
 def train_patterns(
-    dataset: DataFrame, columns: Sequence[str], patterns: Sequence[str], config: TrainConfig = TrainConfig(), test_start=None
+    dataset: DataFrame, columns: Sequence[str], patterns: Sequence[str], config: TrainConfig = TrainConfig(), window: tuple | None = None
 ) -> DataFrame:
-    """Train one model per pattern and return the scored test rows of all of them as one signal table."""
-    frame = lb.add_label_end(dataset, config.horizon)
-    start = test_start or frame.where(F.col("split") == "test").agg(F.min("datetime")).first()[0]
-    at = lb.embargoed(F.lit(start), config.costs.interval, config.embargo_bars)
+    """Train one model per pattern and return the scored test rows of all of them as one signal table.
+
+    Labels end ``horizon + embargo_bars`` bars on, so an embargo purges more.
+    With a ``window`` (test start and end, of a walk forward) the test part also
+    starts ``embargo_bars`` later, and its labels must end inside it.  A pattern
+    without a model has one row that says why in ``skipped_because``.
+    """
+    frame = dataset if window else add_training_label_end(dataset, config)
+    test = F.col("split") == "test"
+    if window:
+        at = lb.embargoed(F.lit(window[0]), config.costs.interval, config.embargo_bars)
+        test = test & (F.col("datetime") >= at) & (F.col("label_end_datetime") < F.lit(window[1]))
+    else:
+        at = F.lit(frame.where(test).agg(F.min("datetime")).first()[0])
     out = None
     for name in patterns:
         rows = pt.pattern_subset(frame, name)
         train = lb.purge(rows.where(F.col("split") == "train"), at)
         if config.max_rows:
             train = train.orderBy(F.desc("datetime"), "symbol").limit(config.max_rows)
-        fitted = fit_pattern(train, rows.where((F.col("split") == "test") & (F.col("datetime") >= at)), columns, config)
-        if fitted is None:
+        fitted = fit_pattern(train, rows.where(test), columns, config)
+        if isinstance(fitted, str):
+            blank = frame.sparkSession.createDataFrame([(name, f"{name}_h{config.horizon}", fitted)], "pattern string, model_file string, skipped_because string")
+            out = blank if out is None else out.unionByName(blank, allowMissingColumns=True)
             continue
         scored, facts = fitted
         tagged = scored.select(
@@ -534,10 +562,11 @@ def train_patterns(
             "position",
             "meta_prob_trade",
             *[F.lit(v).alias(k) for k, v in facts.items()],
+            F.lit(None).cast("string").alias("skipped_because"),
         )
-        out = tagged if out is None else out.unionByName(tagged)
+        out = tagged if out is None else out.unionByName(tagged, allowMissingColumns=True)
     if out is None:
-        raise ValueError("no pattern has enough rows of both classes")
+        raise ValueError("no pattern was asked for")
     return out
 
 
@@ -545,20 +574,28 @@ def purged_cv(frame: DataFrame, columns: Sequence[str], folds: int = 3, purge_ba
     """ROC-AUC per expanding time fold; training rows within ``purge_bars`` dates of the test part are dropped."""
     rows = settle(time_folds(frame, folds))
     spark = frame.sparkSession
-    empty = spark.createDataFrame([], "fold int, rows bigint, roc_auc double")
+    out = spark.createDataFrame([], "fold int, rows bigint, roc_auc double, skipped_because string")
+
+    def skipped(fold, n, why):
+        return out.unionByName(spark.createDataFrame([(fold, n, None, why)], out.schema))
+
     if rows.limit(CV_MIN_ROWS).count() < CV_MIN_ROWS:
-        return empty
-    out = empty
+        return skipped(None, rows.count(), f"fewer than {CV_MIN_ROWS} rows")
     for k in range(1, folds + 1):
         test = rows.where(F.col("fold") == k)
         first = test.agg(F.min("bar_index")).first()[0]
         if first is None:
+            out = skipped(k, 0, "no test row")
             continue
         train = rows.where(F.col("bar_index") < first - purge_bars)
-        if train.limit(CV_MIN_TRAIN).count() < CV_MIN_TRAIN or not _two_classes(train) or not _two_classes(test):
+        if train.limit(CV_MIN_TRAIN).count() < CV_MIN_TRAIN:
+            out = skipped(k, test.count(), f"fewer than {CV_MIN_TRAIN} training rows")
+            continue
+        if not _two_classes(train) or not _two_classes(test):
+            out = skipped(k, test.count(), "one class in a part")
             continue
         scored = fit_stacked(train, columns, 42, size).score(test)
-        part = binary_metrics(scored, ["fold"], "future_direction", "prob_raw").select("fold", "rows", "roc_auc")
+        part = binary_metrics(scored, ["fold"], "future_direction", "prob_raw").select("fold", "rows", "roc_auc", F.lit(None).cast("string").alias("skipped_because"))
         out = out.unionByName(part)
     return out
 
@@ -566,19 +603,20 @@ def purged_cv(frame: DataFrame, columns: Sequence[str], folds: int = 3, purge_ba
 def walk_forward(
     dataset: DataFrame, columns: Sequence[str], patterns: Sequence[str], windows: DataFrame, config: TrainConfig = TrainConfig()
 ) -> DataFrame:
-    """Retrain inside every window and score its test part; the window list is short by construction."""
+    """Retrain inside every window and score its test part; the window list is one row per step of the calendar.
+
+    Label ends come from all bars, before a window cuts them; windows without a model keep their skip rows.
+    """
+    dataset = add_training_label_end(dataset, config)
     plan = windows.orderBy("window_no").collect()  # one row per window
     out = None
     for w in plan:
         known = (F.col("datetime") >= F.lit(w.train_start)) & (F.col("datetime") < F.lit(w.test_end))
         split = F.when(F.col("datetime") >= F.lit(w.test_start), "test").otherwise("train")
         part = dataset.where(known).drop("split").withColumn("split", split)
-        try:
-            scored = train_patterns(part, columns, patterns, config, w.test_start)
-        except ValueError:
-            continue
+        scored = train_patterns(part, columns, patterns, config, (w.test_start, w.test_end))
         tagged = scored.withColumn("window_no", F.lit(w.window_no)).withColumn("window_start", F.lit(w.test_start))
-        out = tagged if out is None else out.unionByName(tagged)
+        out = tagged if out is None else out.unionByName(tagged, allowMissingColumns=True)
     if out is None:
-        raise ValueError("no window has enough rows of both classes")
+        raise ValueError("the window list is empty")
     return out

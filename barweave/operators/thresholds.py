@@ -8,6 +8,7 @@ table for each threshold is a sum over steps; a pair is the sum of two sides.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import replace
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
@@ -52,8 +53,14 @@ def _side_table(rows: DataFrame, keys: list[str], grid: Sequence[float], long_si
     return opened.groupBy(*keys, "threshold", "datetime").agg(F.sum("_total").alias("total"), F.sum("_n").alias("n"))
 
 
-def pair_periods(rows: DataFrame, keys: list[str], longs: Sequence[float], shorts: Sequence[float], costs: Costs, value: str, min_gap: float = 0.0) -> DataFrame:
-    """(keys, long_threshold, short_threshold, datetime): trades per side and mean net return."""
+def pair_periods(
+    rows: DataFrame, keys: list[str], longs: Sequence[float], shorts: Sequence[float], costs: Costs, value: str, min_gap: float = 0.0,
+    always: tuple[float, float] | None = None,
+) -> DataFrame:
+    """(keys, long_threshold, short_threshold, datetime): trades per side and mean net return.
+
+    The pair ``always`` is evaluated even if its thresholds are closer than ``min_gap``.
+    """
     r = F.col(value)
     usable = rows.where(r.isNotNull() & F.col("pred_prob_up").isNotNull())
     long_side = _side_table(usable, keys, longs, True, costs.net(F.lit(1), r))
@@ -71,7 +78,10 @@ def pair_periods(rows: DataFrame, keys: list[str], longs: Sequence[float], short
         F.lit(0).cast("bigint").alias("n_long"), F.col("n").alias("n_short"),
     )
     apart = F.col("long_threshold") - F.col("short_threshold")
-    pairs = l.unionByName(s).where((apart > 0) & (apart >= min_gap - 1e-12))
+    wanted = (apart > 0) & (apart >= min_gap - 1e-12)
+    if always:
+        wanted = wanted | ((F.abs(F.col("long_threshold") - always[0]) < 1e-9) & (F.abs(F.col("short_threshold") - always[1]) < 1e-9) & (apart > 0))
+    pairs = l.unionByName(s).where(wanted)
     return (
         pairs.groupBy(*keys, "long_threshold", "short_threshold", "datetime")
         .agg(F.sum("total").alias("_t"), F.sum("n_long").alias("n_long"), F.sum("n_short").alias("n_short"))
@@ -100,7 +110,11 @@ def optimize_validation(
     imbalance_penalty: float = 0.2,
     interval: str = "1d",
 ) -> DataFrame:
-    """Best threshold pair per key by the penalised objective; the default pair when none qualifies."""
+    """Best threshold pair per key by the penalised objective; the default pair when none qualifies.
+
+    Trades pay the transaction cost on either side, but no borrow.
+    """
+    costs = replace(costs, borrow_bps_per_day=0.0)
     side = min_side if min_side is not None else max(5, min_trades // 4)
     table = pair_metrics(pair_periods(rows, keys, longs, shorts, costs, value), keys, interval)
     n = F.col("long_trades") + F.col("short_trades")
@@ -153,7 +167,7 @@ def optimize_out_of_sample(
     """Best pair by (return, annual return, sharpe, sortino, -drawdown, win rate, trades), with the current pair as baseline."""
     longs = local_grid(WIDE_LONG_GRID, current_long, 0.5, 0.95)
     shorts = local_grid(WIDE_SHORT_GRID, current_short, 0.05, 0.5)
-    table = pair_metrics(pair_periods(rows, keys, longs, shorts, costs, value, MIN_GAP), keys, interval)
+    table = pair_metrics(pair_periods(rows, keys, longs, shorts, costs, value, MIN_GAP, (current_long, current_short)), keys, interval)
     n = F.col("long_trades") + F.col("short_trades")
     table = table.withColumn("trades", n).where(n >= min_trades)
     goals = ("cumulative_return", "annualized_return", "sharpe", "sortino")

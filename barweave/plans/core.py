@@ -346,7 +346,8 @@ WINDOWS = """
 win AS (
   SELECT row_number() OVER (ORDER BY test_start) - 1 AS window_no, test_start - INTERVAL 730 DAY AS train_start,
          test_start, test_start + INTERVAL 365 DAY AS test_end
-  FROM (SELECT unnest(generate_series(min(datetime) + INTERVAL 730 DAY, max(datetime), INTERVAL 365 DAY)) AS test_start FROM bars)),
+  FROM (SELECT hi, unnest(generate_series(lo, hi, INTERVAL 365 DAY)) AS test_start FROM (SELECT min(datetime) + INTERVAL 730 DAY AS lo, max(datetime) AS hi FROM bars))
+  WHERE test_start < hi),
 ends AS (SELECT symbol, datetime, lead(datetime) OVER (PARTITION BY symbol ORDER BY datetime) AS label_end FROM bars)"""
 
 
@@ -358,7 +359,7 @@ def walk_windows(spark, folder):
 
 @query("j8_window_assignment", "window_no:i role:s rows:i", with_(WEEKLY, WINDOWS, select="""
 SELECT window_no, role, count(*) AS rows FROM (
-  SELECT window_no, CASE WHEN datetime >= test_start + INTERVAL 2 DAY AND datetime < test_end THEN 'test'
+  SELECT window_no, CASE WHEN datetime >= test_start + INTERVAL 2 DAY AND datetime < test_end AND label_end < test_end THEN 'test'
                          WHEN datetime >= train_start AND datetime < test_start AND label_end < test_start + INTERVAL 2 DAY THEN 'train' END AS role
   FROM ends, win) WHERE role IS NOT NULL GROUP BY 1, 2"""))
 def window_assignment(spark, folder):

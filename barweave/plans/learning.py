@@ -116,7 +116,7 @@ def platt_fit(spark, folder):
 
 
 @query("x11_binary_metrics", "pattern:s rows:i " + rounded("accuracy precision recall f1 roc_auc"), with_(*SIGNAL_PARTS, """
-lv AS (SELECT pattern, realized_return > 0 AS y, pred_prob_up >= 0.5 AS u, round(pred_prob_up, 6) AS s FROM scored_members WHERE realized_return IS NOT NULL),
+lv AS (SELECT pattern, realized_return > 0 AS y, pred_prob_up >= 0.5 AS u, pred_prob_up AS s FROM scored_members WHERE realized_return IS NOT NULL),
 rk AS (SELECT *, rank() OVER (PARTITION BY pattern ORDER BY s) + (count(*) OVER (PARTITION BY pattern, s) - 1) / 2.0 AS r FROM lv),
 ag AS (SELECT pattern, count(*) AS rows, count(*) FILTER (WHERE y) AS pos, count(*) FILTER (WHERE u) AS up, count(*) FILTER (WHERE y AND u) AS hit,
               sum(r) FILTER (WHERE y) AS rs FROM rk GROUP BY 1)""", select="""

@@ -282,12 +282,12 @@ def grid_values(name, values):
     return f"{name} AS (SELECT unnest([{', '.join(repr(v) for v in values)}]) AS {name[0]})"
 
 
-def pair_sql(value: str, source: str, cost: str, gap: float) -> str:
+def pair_sql(value: str, source: str, cost: str, gap: float, borrow: str = "0.5 / 10000") -> str:
     return f"""
 pairs AS (SELECT l AS long_threshold, s AS short_threshold FROM longs, shorts WHERE l > s AND l - s >= {gap} - 1e-12),
 hits AS (
   SELECT pattern, long_threshold, short_threshold, datetime,
-         CASE WHEN pred_prob_up >= long_threshold THEN {value} - {cost} ELSE -{value} - {cost} - 0.5 / 10000 END AS net,
+         CASE WHEN pred_prob_up >= long_threshold THEN {value} - {cost} ELSE -{value} - {cost} - {borrow} END AS net,
          CASE WHEN pred_prob_up >= long_threshold THEN 1 ELSE 0 END AS is_long
   FROM {source} JOIN pairs ON pred_prob_up >= long_threshold OR pred_prob_up <= short_threshold WHERE {value} IS NOT NULL),
 pp AS (SELECT pattern, long_threshold, short_threshold, datetime, avg(net) AS period_return FROM hits GROUP BY ALL),
@@ -300,7 +300,7 @@ val AS (SELECT m.pattern, m.datetime, m.pred_prob_up, f.future_excess_return FRO
 
 @query("o1_validation_thresholds", "pattern:s long_threshold:d short_threshold:d objective:d5 trades:i",
        with_(*SIGNAL_PARTS, FUTURE, O1_ROWS, grid_values("longs", th.LONG_GRID), grid_values("shorts", th.SHORT_GRID),
-             pair_sql("future_excess_return", "val", "5.0 / 10000", 0.0), metrics_sql("pp", "pattern, long_threshold, short_threshold"), """
+             pair_sql("future_excess_return", "val", "5.0 / 10000", 0.0, "0"), metrics_sql("pp", "pattern, long_threshold, short_threshold"), """
 obj AS (
   SELECT m.pattern, long_threshold, short_threshold, trades,
          cumulative_return + 0.2 * sharpe + 0.1 * sortino + 0.1 * win_rate_period - 0.12 * abs(max_drawdown)
@@ -323,7 +323,7 @@ SHORTS2 = th.local_grid(th.WIDE_SHORT_GRID, 0.45, 0.05, 0.5)
 
 
 @query("o2_out_of_sample_thresholds", "pattern:s long_threshold:d short_threshold:d trades:i cumulative_return:d5 improvement_cumulative_return:d5",
-       with_(*SIGNAL_PARTS, "oos AS (SELECT * FROM scored_members WHERE abs(realized_return) <= 0.25 AND datetime >= TIMESTAMP '2000-06-01')",
+       with_(*SIGNAL_PARTS, "oos AS (SELECT * FROM scored_members WHERE abs(realized_return) <= 3.0 AND datetime >= TIMESTAMP '2000-06-01')",
              grid_values("longs", LONGS2), grid_values("shorts", SHORTS2), pair_sql("realized_return", "oos", "5.0 / 10000", 0.03),
              metrics_sql("pp", "pattern, long_threshold, short_threshold"),
              "cand AS (SELECT * FROM pp_metrics JOIN nn USING (pattern, long_threshold, short_threshold) WHERE trades >= 20)", select=f"""
@@ -335,7 +335,7 @@ FROM (SELECT *, row_number() OVER (PARTITION BY pattern ORDER BY {tie('cumulativ
       FROM cand) WHERE rk = 1"""))
 def oos_thresholds(spark, folder):
     late = scored_members(spark, folder).where(F.col("datetime") >= F.lit("2000-06-01").cast("timestamp"))
-    rows = sg.drop_extreme(late, 0.25)
+    rows = sg.drop_extreme(late, 3.0)
     return th.optimize_out_of_sample(rows, ["pattern"], COSTS)
 
 

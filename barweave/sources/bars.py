@@ -120,8 +120,8 @@ def years_ago_window(bars: DataFrame, start_years_ago: int | None, end_years_ago
 
 def minimum_history(bars: DataFrame, rows: int = 120) -> DataFrame:
     """Drop symbols with fewer than ``rows`` bars."""
-    n = F.count(F.lit(1)).over(Window.partitionBy("symbol"))
-    return bars.withColumn("_n", n).where(F.col("_n") >= rows).drop("_n")
+    long_enough = bars.groupBy("symbol").count().where(F.col("count") >= rows).select("symbol")
+    return bars.join(long_enough, "symbol", "left_semi").select(*bars.columns)
 
 
 def build_bars(
