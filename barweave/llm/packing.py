@@ -16,8 +16,8 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import UnitCoder, arrow_type, id_text, settled, steps
-from .units import byte_level_units, library_encoder
+from .common import arrow_type, id_text, settled, steps
+from .units import byte_level_units, library_coder
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 PACKED = PIECES + ", sequence_id long, offset long"
@@ -74,7 +74,7 @@ def tokenised_pieces(df: DataFrame, tokenizer: str, max_tokens: int = 2048, end_
     """Pieces of every document, encoded whole with an end id behind it.  Null and empty texts are one piece, the end id."""
 
     def encode(batches):
-        coder = UnitCoder(library_encoder(tokenizer))
+        coder = library_coder(tokenizer)
         for batch in steps(batches, "text"):
             ids, lengths = coder.encode([byte_level_units(t) for t in batch.column("text").to_pylist()])
             view = memoryview(np.insert(ids, np.cumsum(lengths), end_id).astype("<u4")).cast("B")

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import functools
 import os
 import re
 from itertools import chain
 
 import numpy as np
 
+from .common import UnitCoder
+
 _TWO_SPACES = re.compile(r"\s\s")
 _STOPS = frozenset(",.")
 _LONE_SPACE = re.compile(r"(?<=\S) (?=\S)")
@@ -43,6 +46,12 @@ def byte_level_units(text: str) -> list[str]:
     return units
 
 
+@functools.cache
+def library_coder(path: str) -> UnitCoder:
+    """A memo over the library's encoder, shared by all tasks of a Python worker."""
+    return UnitCoder(library_encoder(path), limit=1_000_000)
+
+
 def library_encoder(path: str):
     """``encode_many`` of the tokenizers library for a JSON file; strings of special tokens are ordinary text."""
     os.environ["TOKENIZERS_PARALLELISM"] = "false"

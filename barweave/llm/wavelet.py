@@ -16,8 +16,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
-from .common import STEP_BYTES, UnitCoder, arrow_type, id_text, new_path, steps
-from .units import library_encoder, word_units
+from .common import STEP_BYTES, arrow_type, id_text, new_path, steps
+from .units import library_coder, word_units
 
 BLOCK = 512
 SHARD_SCHEMA = (
@@ -149,7 +149,7 @@ def write_shards(
     def encode(batches):
         from pyspark import TaskContext
 
-        coder = UnitCoder(library_encoder(tokenizer))
+        coder = library_coder(tokenizer)
         part, seq = TaskContext.get().partitionId(), 0
         held, total = [], 0
 
