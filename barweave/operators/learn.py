@@ -521,6 +521,19 @@ def add_training_label_end(frame: DataFrame, config: TrainConfig) -> DataFrame:
     return lb.add_label_end(frame, config.horizon + max(0, config.embargo_bars))
 
 
+def _skip_row(frame: DataFrame, name: str, config: TrainConfig, why: str) -> DataFrame:
+    """The one row of a pattern without a model: its names and the reason, all else NULL."""
+    kinds = {c: frame.schema[c].dataType for c in ("symbol", "datetime", "future_direction", "future_return")}
+    kinds |= {"prob_raw": "double", "pred_prob_up": "double", "position": "int", "meta_prob_trade": "double"}
+    kinds |= {"seed": "int", "long_threshold": "double", "short_threshold": "double", "features": "int", "meta_filter": "boolean"}
+    return frame.sparkSession.range(1).select(
+        F.lit(name).alias("pattern"),
+        F.lit(f"{name}_h{config.horizon}").alias("model_file"),
+        *[F.lit(None).cast(kind).alias(c) for c, kind in kinds.items()],
+        F.lit(why).alias("skipped_because"),
+    )
+
+
 def train_patterns(
     dataset: DataFrame, columns: Sequence[str], patterns: Sequence[str], config: TrainConfig = TrainConfig(), window: tuple | None = None
 ) -> DataFrame:
@@ -546,8 +559,8 @@ def train_patterns(
             train = train.orderBy(F.desc("datetime"), "symbol").limit(config.max_rows)
         fitted = fit_pattern(train, rows.where(test), columns, config)
         if isinstance(fitted, str):
-            blank = frame.sparkSession.createDataFrame([(name, f"{name}_h{config.horizon}", fitted)], "pattern string, model_file string, skipped_because string")
-            out = blank if out is None else out.unionByName(blank, allowMissingColumns=True)
+            blank = _skip_row(frame, name, config, fitted)
+            out = blank if out is None else out.unionByName(blank)
             continue
         scored, facts = fitted
         tagged = scored.select(
@@ -564,7 +577,7 @@ def train_patterns(
             *[F.lit(v).alias(k) for k, v in facts.items()],
             F.lit(None).cast("string").alias("skipped_because"),
         )
-        out = tagged if out is None else out.unionByName(tagged, allowMissingColumns=True)
+        out = tagged if out is None else out.unionByName(tagged)
     if out is None:
         raise ValueError("no pattern was asked for")
     return out
@@ -616,7 +629,7 @@ def walk_forward(
         part = dataset.where(known).drop("split").withColumn("split", split)
         scored = train_patterns(part, columns, patterns, config, (w.test_start, w.test_end))
         tagged = scored.withColumn("window_no", F.lit(w.window_no)).withColumn("window_start", F.lit(w.test_start))
-        out = tagged if out is None else out.unionByName(tagged, allowMissingColumns=True)
+        out = tagged if out is None else out.unionByName(tagged)
     if out is None:
         raise ValueError("the window list is empty")
     return out
