@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable, Iterable, Iterator
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -91,10 +92,9 @@ class UnitCoder:
         self.offsets = np.zeros(1, np.int64)
 
     def _learn(self, units: list[str]) -> None:
+        """Take in units that are not known yet."""
         known = self.codes
-        fresh = [u for u in dict.fromkeys(units) if u not in known]
-        if not fresh:
-            return
+        fresh = list(dict.fromkeys(units))
         tail, lengths = self.encode_many(fresh)
         known.update(zip(fresh, range(len(known), len(known) + len(fresh))))
         self.offsets = np.concatenate([self.offsets, self.offsets[-1] + np.cumsum(lengths)])
@@ -105,8 +105,11 @@ class UnitCoder:
         if len(self.codes) > self.limit:
             self._reset()
         units = [u for x in texts for u in x]
-        self._learn(units)
-        codes = np.fromiter(map(self.codes.__getitem__, units), np.int64, len(units))
+        codes = np.fromiter(map(self.codes.get, units, repeat(-1)), np.int64, len(units))
+        missing = np.flatnonzero(codes < 0).tolist()
+        if missing:
+            self._learn([units[i] for i in missing])
+            codes[missing] = [self.codes[units[i]] for i in missing]
         first, lengths = self.offsets[codes], np.diff(self.offsets)[codes]
         ends = np.cumsum(lengths)
         total = int(ends[-1]) if len(ends) else 0
