@@ -134,11 +134,14 @@ def _places(text: Column, pattern: str, kind: str, wide: bool, worth: Callable[[
 
 
 def candidates(text: Column) -> Column:
-    """All spans to judge: base matches, valid or nearly so, and wide ones that touch no valid base span."""
+    """All spans to judge: base matches, valid or nearly so, and wide ones that touch no valid base span.
+
+    A pattern runs where the text has what every match of it that is worth keeping needs.
+    """
     has = {
         "email": text.contains("@"),
         "ip": text.rlike("[0-9]\\.[0-9]"),
-        "card": text.rlike("[0-9]{3}"),
+        "card": text.rlike(r"[0-9](?:[\x20-]?[0-9]){12}"),
         "phone": text.contains("+"),
     }
     wide_has = {

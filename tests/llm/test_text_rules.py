@@ -192,6 +192,13 @@ def test_base_spans(spark):
         assert r.n_email == sum(w.startswith("email") for w in want)
 
 
+def test_cards_in_ones_and_twos(spark):
+    texts = ["41 11 11 11 11 11 11 11", "4-1-1-1-1-1-1-1-1-1-1-1-1-1-1-1", "paid by 41-11 11-11 1-1-1 1 11 11, thanks", "4 1 1 1 1 1 1 1 1 1 1 1"]
+    spans, _ = pii.find(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
+    got = {r.doc_id: [s for s in r.spans.split(",") if s.startswith("card")] for r in pii.digest(spans).collect()}
+    assert got == {i: base_spans(t) for i, t in enumerate(texts)} and [len(got[i]) for i in range(4)] == [1, 1, 1, 0]
+
+
 def test_wide_forms_are_learnt(spark):
     rows = [(i, f"write to user{i}@mail.example.com or call +1 (301) 555-03{i:02d} from 10.0.0.{i}") for i in range(40)]
     rows += [(100 + i, f"contact user{i} [at] mail [dot] com, phone 301-555-03{i:02d}, thanks") for i in range(20)]
