@@ -30,7 +30,7 @@ CARD = r"[0-9](?:[\x20-]?[0-9])++"
 PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
 # Wider written forms.
 WIDE = {
-    "email": rf"(?i)(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{{1,64}}+\x20?(?:\[at\]|\(at\)|\x20at\x20|@)\x20?[A-Za-z0-9-]{{1,63}}+(?:\x20?(?:\[dot\]|\(dot\)|\x20dot\x20|\.)\x20?[A-Za-z0-9-]{{1,63}}+){{1,4}}+",
+    "email": rf"(?i)(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++\x20?(?:\[at\]|\(at\)|\x20at\x20|@)\x20?[A-Za-z0-9-]++(?:\x20?(?:\[dot\]|\(dot\)|\x20dot\x20|\.)\x20?[A-Za-z0-9-]++)++",
     "ip": r"(?<![0-9A-Fa-f:])(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}(?![0-9A-Fa-f:])",
     "card": r"(?<![0-9.+])[0-9]{4}[\x20-][0-9]{6}[\x20-][0-9]{5}(?![0-9])|(?<![0-9A-Za-z.+])[0-9]{15}(?![0-9A-Za-z])",
     "phone": r"(?<![0-9A-Za-z+.])(?:\([0-9]{3}\)[\x20.-]?|[0-9]{3}[\x20.-])[0-9]{3}[\x20.-][0-9]{4}(?![0-9A-Za-z])",
@@ -145,7 +145,7 @@ def candidates(text: Column) -> Column:
         "phone": text.contains("+"),
     }
     wide_has = {
-        "email": text.rlike("(?i)[\\[(]at[\\])]|\\x20dot\\x20|\\x20@\\x20"),
+        "email": text.rlike(r"(?i)@|[\[(]at[\])]|\x20at\x20"),
         "ip": text.rlike("[0-9A-Fa-f]:[0-9A-Fa-f]"),
         "card": text.rlike("[0-9]{5}"),
         "phone": text.rlike("[0-9]{3}[\\x20.-][0-9]{4}"),
@@ -163,6 +163,12 @@ def candidates(text: Column) -> Column:
     return F.get(F.transform(F.array(base), both), F.lit(0))
 
 
+def _spoken(text: Column) -> Column:
+    """How a wide e-mail says ``at`` as a word: not, before a full stop with a space behind it as prose has, or joined."""
+    at = text.rlike(r"(?i)\x20at\x20")
+    return F.when(~at, "no").when(text.rlike(r"\.\x20"), "prose").otherwise("joined")
+
+
 def votes(c: Column) -> dict[str, Column]:
     """Each labeler's vote on a candidate: 1, -1, or 0 where it abstains."""
     kind, text, digits = c["kind"], c["text"], _digits(c["text"])
@@ -171,8 +177,9 @@ def votes(c: Column) -> dict[str, Column]:
     near = F.lit(False)
     for k in KINDS:
         near = F.when(kind == k, words.rlike(rf"(?:^|[^a-z])(?:{GAZETTEER[k]})[^a-z]")).otherwise(near)
+    prose = (kind == "email") & (_spoken(text) == "prose")
     shape = (
-        F.when(kind == "email", text.rlike(r"(?i)[a-z]{2,24}$"))
+        F.when(kind == "email", text.rlike(r"(?i)[a-z]{2,24}$") & ~prose)
         .when(kind == "ip", ~text.rlike(r"^0|^255|\.0{2,}"))
         .when(kind == "card", digits.rlike("^[3-6]") & n.between(15, 19))
         .otherwise(n.between(10, 15))
@@ -186,7 +193,7 @@ def votes(c: Column) -> dict[str, Column]:
         "check": F.when(check.isNull(), 0).otherwise(vote(check)),
         "shape": vote(shape),
         "near": F.when(near, 1).otherwise(0),
-        "against": F.when(words.rlike(rf"(?:^|[^a-z])(?:{AGAINST})[^a-z]+$"), -1).otherwise(0),
+        "against": F.when(words.rlike(rf"(?:^|[^a-z])(?:{AGAINST})[^a-z]+$") | prose, -1).otherwise(0),
         "apart": F.when(c["before"].rlike("[A-Za-z0-9]$") | c["after"].rlike("[A-Za-z0-9]"), -1).otherwise(0),
         "same": F.when(digits.rlike(r"^([0-9])\1{6,}$"), -1).otherwise(0),
     }
@@ -203,6 +210,7 @@ def features(c: Column) -> list[Column]:
         "length": F.concat(kind, F.lit(":"), F.least(F.floor(F.length(c["text"]) / 4), F.lit(12)).cast("string")),
         "before": sign(F.right(c["before"], F.lit(1))),
         "after": sign(c["after"]),
+        "spoken": _spoken(c["text"]),
         "word": F.pmod(F.xxhash64(word), F.lit(64)).cast("string"),
         "signs": F.array_join(F.array_sort(F.array_distinct(F.split(F.regexp_replace(c["text"], "[^@.:()\\x20+-]", ""), ""))), ""),
     }

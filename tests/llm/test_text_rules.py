@@ -199,6 +199,23 @@ def test_cards_in_ones_and_twos(spark):
     assert got == {i: base_spans(t) for i, t in enumerate(texts)} and [len(got[i]) for i in range(4)] == [1, 1, 1, 0]
 
 
+def test_wide_mail_needs_no_other_word(spark):
+    long = "joe at " + "a" * 70 + ".b" * 3000
+    texts = ["joe at example.com", "joe@ example.com", "joe @example.com", "joe (AT) a.b.c.d.e.f.g", "j" * 70 + " [at] example.com", "joe@example [dot] com", long, "joe at home"]
+    df = spark.createDataFrame([(i, f"# {t} #") for i, t in enumerate(texts)], "doc_id long, text string")
+    rows = df.select("doc_id", pii.candidates(F.col("text")).alias("c")).collect()
+    found = {r.doc_id: [x.text for x in r.c if x.kind == "email"] for r in rows}
+    assert found == {i: [t] if i < 7 else [] for i, t in enumerate(texts)}
+
+
+def test_prose_with_at_stays(spark):
+    rows = [(i, f"mail user{i}@mail.example.com or look at home. Then go, number {i}") for i in range(40)]
+    rows += [(100 + i, f"contact user{i} at example.com for more") for i in range(10)]
+    spans, _ = pii.find(spark.createDataFrame(rows, "doc_id long, text string"))
+    got = {r.doc_id: [s.base for s in r.spans] for r in spans.collect()}
+    assert got == {i: [i < 100] for i, _ in rows}
+
+
 def test_wide_forms_are_learnt(spark):
     rows = [(i, f"write to user{i}@mail.example.com or call +1 (301) 555-03{i:02d} from 10.0.0.{i}") for i in range(40)]
     rows += [(100 + i, f"contact user{i} [at] mail [dot] com, phone 301-555-03{i:02d}, thanks") for i in range(20)]
