@@ -249,6 +249,52 @@ def test_pipeline_stages(spark, tmp_path):
     assert sorted(map(key, rows)) == sorted(map(key, frame.collect()))
 
 
+def near_copies(seed=6):
+    """``(id, text)``: bases, copies with words replaced one by one down to a similarity below 0.8, copies in common, odd rows."""
+    rng = random.Random(seed)
+    word = lambda: "w" + str(rng.randrange(4000))
+    common = [word() for _ in range(30)]
+    rows = []
+    for g in range(25):
+        base = [word() for _ in range(rng.randint(80, 200))] + (common if g % 2 else [])
+        rows.append((100 * g, " ".join(base)))
+        own = list(base)
+        for k in range(1, 8):
+            own[rng.randrange(len(own))] = word().upper()
+            if k >= 2:
+                rows.append((100 * g + k, " ".join(own)))
+    last = rows[0][1]
+    rows += [(None, "alone " + " ".join(word() for _ in range(60))), (None, last), (7000, "one id " + " ".join(word() for _ in range(60)))]
+    return rows + [(7000, "other text " + " ".join(word() for _ in range(60))), (7000, rows[-1][1]), (5, None), (6, "")]
+
+
+def sure_groups(rows):
+    def shingles(text):
+        w = (text or "").lower().split()
+        return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
+
+    sets, out = [shingles(t) for _, t in rows], list(range(len(rows)))
+    for i in range(len(rows)):
+        for j in range(i):
+            if (not sets[i] and not sets[j]) or 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j]) > 0:
+                a, b = out[i], out[j]
+                out = [b if x == a else x for x in out]
+    return out
+
+
+def test_pipeline_drops_near_copies_of_five_words(spark):
+    rows = near_copies()
+    df = spark.createDataFrame([(d, t, "en") for d, t in rows], "doc_id long, text string, lang string").repartition(4)
+    least = {}
+    for (d, t), c in zip(rows, sure_groups(rows)):
+        own = (d is None, d or 0, d, t)
+        least[c] = min(least.get(c, own), own, key=lambda x: x[:2])
+    want = sorted(((d, t or "") for *_, d, t in least.values()), key=repr)
+    got = corpus_pipeline.near_duplicates(spark, df, "")
+    assert sorted(((r.doc_id, r.text or "") for r in got.collect()), key=repr) == want
+    assert any(d is None for d, _ in want) and sum(d == 7000 for d, _ in want) == 2
+
+
 def test_pipeline_on_an_empty_table(spark, tmp_path):
     spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(str(tmp_path / "documents.parquet"))
     spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
