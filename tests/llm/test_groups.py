@@ -295,6 +295,14 @@ def test_pipeline_drops_near_copies_of_five_words(spark):
     assert any(d is None for d, _ in want) and sum(d == 7000 for d, _ in want) == 2
 
 
+def test_pipeline_keeps_rows_without_an_id_of_their_own(spark):
+    text = lambda k: " ".join(f"t{k}w{i}" for i in range(80))
+    rows = [(None, text(0)), (None, text(1)), (1, text(2)), (1, text(3)), (0, text(3)), (2, text(0) + " end"), (1, text(2))]
+    df = spark.createDataFrame([(d, t, "en") for d, t in rows], "doc_id long, text string, lang string").repartition(3)
+    got = sorted(((r.doc_id, r.text) for r in corpus_pipeline.near_duplicates(spark, df, "").collect()), key=repr)
+    assert got == sorted([(None, text(1)), (1, text(2)), (0, text(3)), (2, text(0) + " end")], key=repr)
+
+
 def test_pipeline_on_an_empty_table(spark, tmp_path):
     spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(str(tmp_path / "documents.parquet"))
     spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
