@@ -53,12 +53,11 @@ def library_coder(path: str) -> UnitCoder:
 
 
 def library_encoder(path: str):
-    """``encode_many`` of the tokenizers library for a JSON file; strings of special tokens are ordinary text."""
+    """``encode_many`` of the tokenizers library for a JSON file, which takes strings of special tokens for these, as it does by default."""
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
 
     model = Tokenizer.from_file(path)
-    model.encode_special_tokens = True
 
     def encode(units: list[str]) -> tuple[np.ndarray, np.ndarray]:
         ids = [e.ids for e in model.encode_batch_fast(units, add_special_tokens=False)]

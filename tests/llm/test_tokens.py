@@ -52,6 +52,19 @@ def test_units_encode_alone(name, units):
         assert own.tolist() == whole(text)
 
 
+@pytest.mark.parametrize("name,units", [("word_bpe_49k.json", word_units), ("byte_bpe_50k.json", byte_level_units)])
+def test_special_tokens_are_the_librarys(name, units):
+    from tokenizers import Tokenizer
+
+    rng = random.Random(12)
+    signs = [*SIGNS, "<|endoftext|>", "<|startoftext|>", " <|endoftext|> ", "<|endoftext|>,", "\n", "  "]
+    texts = ["a <|endoftext|> b", *["".join(rng.choice(signs) for _ in range(rng.randint(0, 25))) for _ in range(3000)]]
+    ids, lengths = UnitCoder(library_encoder(P.path(name)), limit=50).encode([units(t) for t in texts])
+    whole = Tokenizer.from_file(P.path(name))
+    for text, own in zip(texts, np.split(ids, np.cumsum(lengths)[:-1])):
+        assert own.tolist() == whole.encode(text, add_special_tokens=False).ids, text
+
+
 def test_wavelet_matrix_answers():
     ids = np.random.default_rng(1).integers(0, 49408, 3000).astype(np.uint32)
     ids[::7] = 5
