@@ -1,4 +1,8 @@
 import os
+import pathlib
+import shutil
+import subprocess
+import sys
 
 import pytest
 
@@ -12,6 +16,17 @@ def test_every_oracle_has_a_query():
     assert len(contract.queries()) > 140
 
 
+@pytest.mark.parametrize("pipeline", [True, False])
+def test_the_rest_stands_alone(tmp_path, pipeline):
+    """Without the training-data operators, with or without their pipeline, the contract still imports."""
+    root = pathlib.Path(contract.__file__).resolve().parent
+    gone = shutil.ignore_patterns("llm", "__pycache__", ".*", *([] if pipeline else ["corpus_pipeline.py"]))
+    shutil.copytree(root, tmp_path / "copy", ignore=gone)
+    code = "import __spark_entry__ as c; q = c.queries(); assert len(q) > 140 and set(c.oracle_sql()) <= set(q); assert not any(n == 'pipeline' or n.startswith('op') for n in q)"
+    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    subprocess.run([sys.executable, "-c", code], cwd=tmp_path / "copy", env=env, check=True, timeout=120)
+
+
 @pytest.mark.skipif(not os.path.isdir(FOLDER), reason="test tables absent")
 def test_entry_runs(spark):
     rows = contract.entry(spark)
