@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import ann, bpe_sql, html_text, packing, pii, quality, simhash, substrings, urls, wavelet
+from . import ann, bpe_sql, html_text, packing, pii, prefix_trie, quality, simhash, substrings, urls, wavelet
 from .common import load
 
 
@@ -57,6 +57,10 @@ def op10_best_fit_packing(spark: SparkSession, folder: str) -> DataFrame:
     return packing.pack(packing.tokenised_pieces(docs, public_tokenizers.path("byte_bpe_50k.json")))
 
 
+def op13_prefix_trie(spark: SparkSession, folder: str) -> DataFrame:
+    return prefix_trie.build_grafted(load(spark, folder, "conversations"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_wavelet_matrix": op1_wavelet_matrix,
     "op2_main_text": op2_main_text,
@@ -68,6 +72,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_quality_rules": op8_quality_rules,
     "op9_personal_data": op9_personal_data,
     "op10_best_fit_packing": op10_best_fit_packing,
+    "op13_prefix_trie": op13_prefix_trie,
 }
 
-ORACLE_SQL: dict[str, str] = {"op3_url_templates": urls.judge_sql()}
+ORACLE_SQL: dict[str, str] = {"op3_url_templates": urls.judge_sql(), "op13_prefix_trie": prefix_trie.build_grafted_sql()}
