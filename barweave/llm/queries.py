@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import ann, bpe_sql, html_text, packing, periodic, pii, prefix_trie, quality, simhash, substrings, urls, wavelet
+from . import ann, bpe_sql, crf, html_text, packing, periodic, pii, prefix_trie, quality, simhash, substrings, urls, wavelet
 from .common import load
 
 
@@ -57,6 +57,10 @@ def op10_best_fit_packing(spark: SparkSession, folder: str) -> DataFrame:
     return packing.pack(packing.tokenised_pieces(docs, public_tokenizers.path("byte_bpe_50k.json")))
 
 
+def op11_language_crf(spark: SparkSession, folder: str) -> DataFrame:
+    return crf.identify(load(spark, folder, "documents")).select("doc_id", "held_out", "lang_pred", "score")
+
+
 def op12_periodic_runs(spark: SparkSession, folder: str) -> DataFrame:
     return periodic.digests(periodic.find(load(spark, folder, "documents"), digest=True, prepare=periodic.repeat_a_tail))
 
@@ -76,6 +80,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_quality_rules": op8_quality_rules,
     "op9_personal_data": op9_personal_data,
     "op10_best_fit_packing": op10_best_fit_packing,
+    "op11_language_crf": op11_language_crf,
     "op12_periodic_runs": op12_periodic_runs,
     "op13_prefix_trie": op13_prefix_trie,
 }
