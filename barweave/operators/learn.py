@@ -16,6 +16,7 @@ from pyspark.ml.feature import Imputer, VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Correlation
 from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql.types import ArrayType
 
 from barweave.functions.missing import clip, ratio
 from barweave.functions.tables import settle
@@ -106,7 +107,10 @@ def logistic(label: str, features: str, weight: str | None = None) -> LogisticRe
 
 
 def probability(frame: DataFrame, model: Transformer, out: str) -> DataFrame:
-    scored = model.transform(frame).withColumn(out, vector_to_array("probability")[1])
+    """Probability of the upper class; a rule in SQL gives an array instead of a vector."""
+    scored = model.transform(frame)
+    plain = isinstance(scored.schema["probability"].dataType, ArrayType)
+    scored = scored.withColumn(out, (F.col("probability") if plain else vector_to_array("probability"))[1])
     return scored.drop("probability", "rawPrediction", "prediction")
 
 
@@ -254,8 +258,13 @@ def time_folds(frame: DataFrame, folds: int) -> DataFrame:
     return frame.join(settle(cut), "datetime")
 
 
-def stability_support(frame: DataFrame, columns: Sequence[str], top_n: int, folds: int = 4, size: LearnerSize = LearnerSize()) -> DataFrame:
-    """Share of contexts (expanding time folds, calm and wild halves) in which a feature is among the best."""
+def stability_support(
+    frame: DataFrame, columns: Sequence[str], top_n: int, folds: int = 4, size: LearnerSize = LearnerSize(), min_rows: int = 0
+) -> DataFrame:
+    """Share of contexts (expanding time folds, calm and wild halves) in which a feature is among the best.
+
+    Contexts of fewer than ``min_rows`` rows or of one class have no vote.
+    """
     columns = list(columns)
     rows = time_folds(impute(frame, columns).withColumn("future_direction", F.col("future_direction").cast("double")), folds)
     rows = settle(assemble(columns).transform(rows))
@@ -268,7 +277,8 @@ def stability_support(frame: DataFrame, columns: Sequence[str], top_n: int, fold
     used = 0
     for i, cond in enumerate(contexts):
         part = rows.where(cond)
-        if part.select("future_direction").distinct().count() < 2:
+        n, low, high = part.agg(F.count(F.lit(1)), F.min("future_direction"), F.max("future_direction")).first()
+        if n < min_rows or low is None or low == high:
             continue
         weights = forest(42 + i, trees=size.trees, depth=size.depth).fit(part).featureImportances.toArray()
         for j in sorted(range(len(columns)), key=lambda j: -weights[j])[:top_n]:
@@ -278,6 +288,94 @@ def stability_support(frame: DataFrame, columns: Sequence[str], top_n: int, fold
     return frame.sparkSession.createDataFrame(table, "feature string, votes int, contexts int, support double")
 
 
+@dataclass(frozen=True)
+class SelectionConfig:
+    """Bounds of the nested selection."""
+
+    min_features: int = 25
+    max_features: int = 260
+    min_rows: int = 350
+    min_validation_rows: int = 80
+    validation_share: float = 0.2
+    folds: int = 4
+    top_share: float = 0.35
+    min_contexts: int = 2
+
+
+@dataclass(frozen=True)
+class Selection:
+    """Chosen features in their given order, and how many each step left out."""
+
+    columns: list[str]
+    counts: dict[str, int]
+
+
+def _by_importance(train: DataFrame, columns: list[str], config: SelectionConfig, size: LearnerSize) -> tuple[list[str], list[str]] | None:
+    """Features with the largest share of the validation AUC, and all by importance; None where rows or classes are too few."""
+    cut = date_at_share(train, 1.0 - config.validation_share)
+    if cut is None:
+        return None
+    fit, rest = train.where(F.col("datetime") < F.lit(cut)), train.where(F.col("datetime") >= F.lit(cut))
+    if rest.limit(config.min_validation_rows).count() < config.min_validation_rows or not _two_classes(fit) or not _two_classes(rest):
+        return None
+    prepare = Pipeline(stages=[imputer(columns), assemble(columns)]).fit(fit)
+    rows = prepare.transform(fit).withColumn("future_direction", F.col("future_direction").cast("double"))
+    judge = StackedModel(prepare, columns, [forest(42, trees=size.trees, depth=size.depth).fit(rows)], None)
+    table = settle(permutation_importance(judge, rest))
+    ranked = [r.feature for r in table.orderBy("rank").collect()]  # one row per feature
+    kept = [r.feature for r in select_by_share(table, IMPORTANCE_SHARE, max(1, config.min_features)).orderBy("place").collect()]
+    return (kept or ranked[: max(config.min_features, min(config.max_features, len(ranked)))]), ranked
+
+
+def select_features(train: DataFrame, columns: Sequence[str], config: SelectionConfig = SelectionConfig(), size: LearnerSize = LearnerSize()) -> Selection:
+    """Missing, constant and correlated columns go first; importance on later rows and votes of contexts choose among the rest.
+
+    A feature must be among the best in at least ``MIN_SUPPORT`` of the contexts.  Fewer than ``min_features`` are filled up
+    by support, then importance; more than ``max_features`` are cut.  Features with equal support keep their given order.
+    """
+    columns = list(columns)
+    quality = {r.feature: r for r in column_quality(train, columns).collect()}  # one row per feature
+    full = [c for c in columns if quality[c].missing_rate is not None and quality[c].missing_rate <= MAX_MISSING]
+    varied = [c for c in full if quality[c].varies]
+    left = uncorrelated_columns(train, varied) if varied else []
+    counts = {
+        "raw_features": len(columns),
+        "dropped_missing": len(columns) - len(full),
+        "dropped_constant": len(full) - len(varied),
+        "dropped_correlated": len(varied) - len(left),
+        "prefilter_features": len(left),
+        "dropped_unstable": 0,
+        "stability_contexts": 0,
+    }
+    chosen, ranked = list(left), list(left)
+    rows = train.count()
+    if left and _two_classes(train):
+        if rows >= config.min_rows and len(left) > config.min_features:
+            found = _by_importance(train, left, config, size)
+            chosen, ranked = found if found else (chosen, ranked)
+        if rows >= max(120, 2 * config.min_validation_rows):
+            top = max(config.min_features, min(config.max_features, round(len(left) * config.top_share)))
+            votes = stability_support(train, left, top, config.folds, size, max(100, config.min_validation_rows)).collect()
+            support = {r.feature: r.support for r in votes}
+            counts["stability_contexts"] = votes[0].contexts
+            stable = {c for c in left if support[c] >= MIN_SUPPORT}
+            if votes[0].contexts >= config.min_contexts and stable:
+                before = len(chosen)
+                chosen = [c for c in chosen if c in stable]
+                counts["dropped_unstable"] = before - len(chosen)
+                for c in [*sorted(left, key=lambda c: -support[c]), *ranked]:
+                    if len(chosen) >= config.min_features:
+                        break
+                    if c not in chosen:
+                        chosen.append(c)
+    chosen = chosen[: config.max_features] if config.max_features > 0 else chosen
+    if len(chosen) < config.min_features:
+        chosen = left[: config.min_features]
+    chosen = [c for c in left if c in set(chosen)]
+    counts |= {"selected_features": len(chosen), "dropped_low_importance": len(left) - len(chosen)}
+    return Selection(chosen, counts)
+
+
 # ---------------------------------------------------------------- calibration and filters
 def clipped(prob: Column) -> Column:
     return clip(prob, PROB_FLOOR, 1.0 - PROB_FLOOR)
@@ -453,7 +551,10 @@ class TrainConfig:
     horizon: int = 1
     embargo_bars: int = 0
     meta_filter: bool = True
+    #: Newest rows that one fit sees at most (None: all); test rows are never cut.
     max_rows: int | None = None
+    #: None keeps every usable, uncorrelated column.
+    selection: SelectionConfig | None = None
 
 
 def date_at_share(frame: DataFrame, share: float):
@@ -470,8 +571,20 @@ def _two_classes(frame: DataFrame) -> bool:
     return low is not None and low != high
 
 
-def fit_pattern(train: DataFrame, test: DataFrame, columns: Sequence[str], config: TrainConfig) -> tuple[DataFrame, dict] | str:
-    """Select, fit, calibrate, tune and filter one model; returns the scored test rows and its facts, or why there is none."""
+@dataclass
+class FittedPattern:
+    """One trained pattern: scored test rows, facts, and the parts that score further rows."""
+
+    scored: DataFrame
+    facts: dict
+    model: StackedModel
+    calibration: Calibration
+    meta: MetaFilter | None
+    counts: dict[str, int]
+
+
+def fit_pattern(train: DataFrame, test: DataFrame, columns: Sequence[str], config: TrainConfig) -> FittedPattern | str:
+    """Select, fit, calibrate, tune and filter one model; or why there is none."""
     train, test = settle(train), settle(test)
     if train.limit(config.min_rows).count() < config.min_rows:
         return f"fewer than {config.min_rows} training rows"
@@ -479,7 +592,13 @@ def fit_pattern(train: DataFrame, test: DataFrame, columns: Sequence[str], confi
         return "one class in the training rows"
     if not _two_classes(test):
         return "one class or no row in the test rows"
-    chosen = uncorrelated_columns(train, usable_columns(train, columns))
+    if config.selection:
+        picked = select_features(train, columns, config.selection, config.size)
+        chosen, counts = picked.columns, picked.counts
+    else:
+        usable = usable_columns(train, columns)
+        chosen = uncorrelated_columns(train, usable)
+        counts = {"raw_features": len(columns), "prefilter_features": len(chosen), "selected_features": len(chosen), "dropped_correlated": len(usable) - len(chosen)}
     if not chosen:
         return "no usable feature"
     cut = date_at_share(train, FIT_SHARE)
@@ -513,12 +632,12 @@ def fit_pattern(train: DataFrame, test: DataFrame, columns: Sequence[str], confi
         )
         if best is None or rank > best[0]:
             facts = {"seed": seed, "long_threshold": long_at, "short_threshold": short_at, "features": len(chosen), "meta_filter": meta is not None}
-            best = (rank, scored, facts)
-    return best[1], best[2]
+            best = (rank, FittedPattern(scored, facts, model, calibration, meta, counts))
+    return best[1]
 
 
 def add_training_label_end(frame: DataFrame, config: TrainConfig) -> DataFrame:
-    return lb.add_label_end(frame, config.horizon + max(0, config.embargo_bars))
+    return lb.add_label_end(frame, config.horizon + max(0, config.costs.latency) + max(0, config.embargo_bars))
 
 
 def _skip_row(frame: DataFrame, name: str, config: TrainConfig, why: str) -> DataFrame:
@@ -534,36 +653,44 @@ def _skip_row(frame: DataFrame, name: str, config: TrainConfig, why: str) -> Dat
     )
 
 
+def training_parts(dataset: DataFrame, patterns: Sequence[str], config: TrainConfig, window: tuple | None = None):
+    """``(pattern, unpurged training rows, training rows, test rows, start of the test part)`` of each pattern."""
+    frame = dataset if window else add_training_label_end(dataset, config)
+    test = F.col("split") == "test"
+    if window:
+        start = window[0]
+        at = lb.embargoed(F.lit(start), config.costs.interval, config.embargo_bars)
+        test = test & (F.col("datetime") >= at) & (F.col("label_end_datetime") < F.lit(window[1]))
+    else:
+        start = frame.where(test).agg(F.min("datetime")).first()[0]
+        at = F.lit(start)
+    for name in patterns:
+        rows = pt.pattern_subset(frame, name)
+        raw = rows.where(F.col("split") == "train")
+        train = lb.purge(raw, at)
+        if config.max_rows:
+            train = train.orderBy(F.desc("datetime"), "symbol").limit(config.max_rows)
+        yield name, raw, train, rows.where(test), start
+
+
 def train_patterns(
     dataset: DataFrame, columns: Sequence[str], patterns: Sequence[str], config: TrainConfig = TrainConfig(), window: tuple | None = None
 ) -> DataFrame:
     """Train one model per pattern and return the scored test rows of all of them as one signal table.
 
-    Labels end ``horizon + embargo_bars`` bars on, so an embargo purges more.
+    Labels end ``horizon + latency + embargo_bars`` bars on, so an embargo purges more.
     With a ``window`` (test start and end, of a walk forward) the test part also
     starts ``embargo_bars`` later, and its labels must end inside it.  A pattern
     without a model has one row that says why in ``skipped_because``.
     """
-    frame = dataset if window else add_training_label_end(dataset, config)
-    test = F.col("split") == "test"
-    if window:
-        at = lb.embargoed(F.lit(window[0]), config.costs.interval, config.embargo_bars)
-        test = test & (F.col("datetime") >= at) & (F.col("label_end_datetime") < F.lit(window[1]))
-    else:
-        at = F.lit(frame.where(test).agg(F.min("datetime")).first()[0])
     out = None
-    for name in patterns:
-        rows = pt.pattern_subset(frame, name)
-        train = lb.purge(rows.where(F.col("split") == "train"), at)
-        if config.max_rows:
-            train = train.orderBy(F.desc("datetime"), "symbol").limit(config.max_rows)
-        fitted = fit_pattern(train, rows.where(test), columns, config)
+    for name, _, train, test, _ in training_parts(dataset, patterns, config, window):
+        fitted = fit_pattern(train, test, columns, config)
         if isinstance(fitted, str):
-            blank = _skip_row(frame, name, config, fitted)
+            blank = _skip_row(dataset, name, config, fitted)
             out = blank if out is None else out.unionByName(blank)
             continue
-        scored, facts = fitted
-        tagged = scored.select(
+        tagged = fitted.scored.select(
             F.lit(name).alias("pattern"),
             F.lit(f"{name}_h{config.horizon}").alias("model_file"),
             "symbol",
@@ -574,7 +701,7 @@ def train_patterns(
             "pred_prob_up",
             "position",
             "meta_prob_trade",
-            *[F.lit(v).alias(k) for k, v in facts.items()],
+            *[F.lit(v).alias(k) for k, v in fitted.facts.items()],
             F.lit(None).cast("string").alias("skipped_because"),
         )
         out = tagged if out is None else out.unionByName(tagged)

@@ -20,10 +20,14 @@ def scan_signals(scored: DataFrame, min_confidence: float = 0.0, top_n: int = 50
     """Ranked signal list from latest rows scored by one or more models.
 
     Needs symbol, datetime, pattern, model_file, prob_up, model_roc_auc,
-    long_threshold, short_threshold; the best row of each symbol is kept.
+    long_threshold, short_threshold; the best row of each symbol is kept.  A
+    ``position`` (1, -1, 0), where a meta filter has set one, goes before the thresholds.
     """
     p, lt, st = F.col("prob_up"), F.col("long_threshold"), F.col("short_threshold")
-    signal = F.when(p <= st, "down").when(p >= lt, "up")
+    if "position" in scored.columns:
+        signal = F.when(F.col("position") < 0, "down").when(F.col("position") > 0, "up")
+    else:
+        signal = F.when(p <= st, "down").when(p >= lt, "up")
     active = scored.withColumn("signal", signal).where(F.col("signal").isNotNull())
     up = F.col("signal") == "up"
     active = active.withColumns(

@@ -185,7 +185,7 @@ def equity_curve(periods: DataFrame, keys: list[str], initial: float = 10_000.0)
 
 def curve_pivot(curves: DataFrame, label: str, labels: list[str]) -> DataFrame:
     """Dates by curve label -> last equity value."""
-    return curves.groupBy("datetime").pivot(label, labels).agg(F.last("equity_value"))
+    return curves.groupBy("datetime").pivot(label, labels).agg(F.max_by("equity_value", F.struct("period_return", "equity_value")))
 
 
 def blind_trades(hits: DataFrame, costs: Costs, pattern: str = "member") -> DataFrame:
@@ -212,16 +212,30 @@ def dedupe_windows(signals: DataFrame) -> DataFrame:
     return keep_first(signals, ["symbol", "datetime"], order)
 
 
-def out_of_sample(frame: DataFrame, models: DataFrame, interval: str, embargo_bars: int = 0) -> DataFrame:
-    """Rows each model may be judged on.
+def first_judged(models: DataFrame, frame: DataFrame, interval: str, embargo_bars: int = 0) -> DataFrame:
+    """``judged_from`` of each model: the later of its training end and test start, plus the embargo.
 
-    ``models`` has one row per model: model_file, train_end, test_start.  A
-    model without dates falls back to the rows marked test.
+    A model without a training end takes the last training date of the dataset.  NULL, where no date is known or no
+    row of the dataset is that late, stands for the rows marked test.
     """
-    known = F.greatest(F.col("train_end"), F.col("test_start"))
-    start = embargoed(known, interval, embargo_bars)
-    allowed = (F.col("datetime") >= start) | (known.isNull() & (F.col("split") == "test"))
-    return frame.join(F.broadcast(models), allowed)  # one row per model
+    last = frame.agg(F.max(F.when(F.col("split") == "train", F.col("datetime"))).alias("_train"), F.max("datetime").alias("_last"))
+    dated = models.crossJoin(F.broadcast(last))  # one row
+    start = embargoed(F.greatest(F.coalesce("train_end", "_train"), F.col("test_start")), interval, embargo_bars)
+    return dated.withColumn("judged_from", F.when(start <= F.col("_last"), start)).drop("_train", "_last")
+
+
+def is_judged() -> Column:
+    return F.coalesce(F.col("datetime") >= F.col("judged_from"), F.col("split") == "test")
+
+
+def out_of_sample(hits: DataFrame, models: DataFrame, interval: str, embargo_bars: int = 0, frame: DataFrame | None = None) -> DataFrame:
+    """Pattern rows each model may be judged on, joined by pattern.
+
+    ``hits`` has the pattern of a row in ``member``; ``models`` has one row per model: model_file, pattern, train_end,
+    test_start.  ``frame`` is the dataset whose dates bound the fall-backs, if not ``hits`` itself.
+    """
+    dated = first_judged(models, hits if frame is None else frame, interval, embargo_bars)
+    return hits.join(dated, F.col("member") == F.col("pattern")).where(is_judged())
 
 
 def combine_curves(periods: DataFrame, chosen: list[str], label: str = "pattern", initial: float = 10_000.0) -> DataFrame:

@@ -493,21 +493,23 @@ def dedupe_windows(spark, folder):
     return sg.dedupe_windows(every)
 
 
-@query("r18_out_of_sample_pool", "model_file:s rows:i first_row:t last_row:t", with_(WEEKLY, CUT, """
-models AS (SELECT 'dated' AS model_file, TIMESTAMP '1999-01-01' AS train_end, TIMESTAMP '1999-03-01' AS test_start
-           UNION ALL SELECT 'train_only', TIMESTAMP '2000-01-01', NULL UNION ALL SELECT 'undated', NULL, NULL)""", select="""
+OOS_MODELS = """SELECT 'dated' AS model_file, 'doji' AS pattern, TIMESTAMP '1999-01-01' AS train_end, TIMESTAMP '1999-03-01' AS test_start
+           UNION ALL SELECT 'train_only', 'none', TIMESTAMP '2000-01-01', CAST(NULL AS TIMESTAMP)
+           UNION ALL SELECT 'undated', 'doji', CAST(NULL AS TIMESTAMP), CAST(NULL AS TIMESTAMP)
+           UNION ALL SELECT 'beyond', 'hammer', TIMESTAMP '2030-01-01', CAST(NULL AS TIMESTAMP)"""
+
+
+@query("r18_out_of_sample_pool", "model_file:s rows:i first_row:t last_row:t", with_(WEEKLY, FLAGS, MEMBERS, CUT, f"""
+models AS ({OOS_MODELS}),
+spans AS (SELECT max(datetime) FILTER (WHERE datetime < cutoff) AS last_train, max(datetime) AS last_date FROM bars, cut),
+starts AS (SELECT model_file, pattern, greatest(coalesce(train_end, last_train), test_start) + INTERVAL 7 DAY AS start, last_date FROM models, spans)""", select="""
 SELECT model_file, count(*) AS rows, min(datetime) AS first_row, max(datetime) AS last_row
-FROM (SELECT *, CASE WHEN train_end IS NULL THEN test_start WHEN test_start IS NULL THEN train_end ELSE greatest(train_end, test_start) END AS known
-      FROM bars, cut, models)
-WHERE datetime >= known + INTERVAL 7 DAY OR (known IS NULL AND datetime >= cutoff) GROUP BY 1"""))
+FROM members m JOIN starts s ON s.pattern = m.member, cut
+WHERE datetime >= CASE WHEN start <= last_date THEN start ELSE cutoff END GROUP BY 1"""))
 def oos_pool(spark, folder):
-    split = lb.chronological_split(weekly_bars(spark, folder))
-    models = spark.sql(
-        """SELECT 'dated' AS model_file, TIMESTAMP '1999-01-01' AS train_end, TIMESTAMP '1999-03-01' AS test_start
-           UNION ALL SELECT 'train_only', TIMESTAMP '2000-01-01', CAST(NULL AS TIMESTAMP)
-           UNION ALL SELECT 'undated', CAST(NULL AS TIMESTAMP), CAST(NULL AS TIMESTAMP)"""
-    )
-    pool = sg.out_of_sample(split, models, "1d", 7)
+    split = lb.chronological_split(pt.add_patterns(weekly_bars(spark, folder)))
+    hits = pt.fan_out(split).drop("pattern")
+    pool = sg.out_of_sample(hits, spark.sql(OOS_MODELS), "1d", 7, split)
     return pool.groupBy("model_file").agg(
         F.count(F.lit(1)).alias("rows"), F.min("datetime").alias("first_row"), F.max("datetime").alias("last_row")
     )

@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
-from barweave.functions.tables import settle
-from barweave.operators import base_features as bf, context as cx, labels as lb, learn as ml, patterns as pt, reports as rp, signals as sg
+from barweave.functions.tables import settle, shared_folder
+from barweave.operators import base_features as bf, bundles as mb, context as cx, labels as lb, learn as ml, patterns as pt, reports as rp, signals as sg
 from barweave.plans.context import guard
-from barweave.plans.core import blind_trades
+from barweave.plans.core import CUT, METRIC_COLS, SCORE, blind_trades
 from barweave.plans.registry import query, rounded
-from barweave.plans.sqlparts import BLIND, FLAGS, MEMBERS, REALIZED, RETURNS, WEEKLY, with_
+from barweave.plans.sqlparts import BLIND, FLAGS, FUTURE, MEMBERS, REALIZED, RETURNS, TRADE_METRICS, WEEKLY, metrics_sql, with_
 from barweave.plans.strategy import SIGNAL_PARTS, scored_members
 from barweave.sources.demo import table, weekly_bars
 
@@ -97,6 +99,32 @@ def pattern_training(spark, folder):
     return ml.train_patterns(dataset(spark, folder), FEATURES, PATTERNS, ml.TrainConfig(size=QUICK))
 
 
+NESTED = ml.SelectionConfig(min_features=4, max_features=8, folds=2)
+
+
+@query("x8_training_summary", "pattern:s train_rows:i test_rows:i purged_train_rows:i positive_rate_train:d positive_rate_test:d raw_features:i dropped_missing:i dropped_constant:i dropped_correlated:i prefilter_features:i test_start:t",
+       with_(WEEKLY, FLAGS, FUTURE, """
+lab AS (SELECT l.*, f.* EXCLUDE (symbol, datetime, open, high, low, close, volume), lead(l.datetime) OVER (PARTITION BY l.symbol ORDER BY l.datetime) AS label_end
+        FROM labels l JOIN labeled f ON f.symbol = l.symbol AND f.datetime = l.datetime WHERE l.future_return IS NOT NULL),
+ld AS (SELECT datetime, row_number() OVER (ORDER BY datetime) - 1 AS i, count(*) OVER () AS n FROM (SELECT DISTINCT datetime FROM lab)),
+lc AS (SELECT datetime AS cutoff FROM ld WHERE i = greatest(1, least(CAST(floor(n * 0.8) AS BIGINT), n - 1))),
+both_names AS (SELECT 'doji' AS member, * FROM lab WHERE pattern_doji = 1 UNION ALL SELECT 'bullish_engulfing', * FROM lab WHERE pattern_bullish_engulfing = 1)""", select="""
+SELECT member AS pattern, count(*) FILTER (WHERE datetime < cutoff AND label_end < cutoff) AS train_rows, count(*) FILTER (WHERE datetime >= cutoff) AS test_rows,
+       count(*) FILTER (WHERE datetime < cutoff) - count(*) FILTER (WHERE datetime < cutoff AND label_end < cutoff) AS purged_train_rows,
+       avg(CAST(future_excess_return > 0 AS INT)) FILTER (WHERE datetime < cutoff AND label_end < cutoff) AS positive_rate_train,
+       avg(CAST(future_excess_return > 0 AS INT)) FILTER (WHERE datetime >= cutoff) AS positive_rate_test,
+       12 AS raw_features, 1 AS dropped_missing, 1 AS dropped_constant, 1 AS dropped_correlated, 9 AS prefilter_features, min(datetime) FILTER (WHERE datetime >= cutoff) AS test_start
+FROM both_names, lc GROUP BY 1"""))
+def training_summary(spark, folder):
+    """Trained, selected and saved models, one summary row each; a twin, a constant and an empty feature have to go."""
+    frame = dataset(spark, folder).withColumns({"ret_1_twin": F.col("ret_1") * 2.0 + 1.0, "flat": F.lit(1.0), "never": F.lit(None).cast("double")})
+    config = ml.TrainConfig(size=QUICK, selection=NESTED)
+    saved = f"{shared_folder(spark)}/side/bundles-{uuid.uuid4().hex}"
+    varied = [c for c in FEATURES if not c.endswith("_streak")]  # an engulfing bar has only one kind of streak
+    table = mb.train_bundles(frame, [*varied, "ret_1_twin", "flat", "never"], PATTERNS, saved, config)
+    return table.select("*", *[F.col("counts")[c].alias(c) for c in ("raw_features", "dropped_missing", "dropped_constant", "dropped_correlated", "prefilter_features")])
+
+
 @query("x9_platt_apply", "symbol:i datetime:t pattern:s calibrated:d", with_(*SIGNAL_PARTS, """
 c AS (SELECT *, least(1 - 1e-6, greatest(1e-6, pred_prob_up)) AS p FROM scored_members)""", select="""
 SELECT symbol, datetime, pattern, least(1 - 1e-6, greatest(1e-6, 1 / (1 + exp(-(0.8 * ln(p / (1 - p)) - 0.1))))) AS calibrated FROM c"""))
@@ -148,3 +176,116 @@ SELECT member, count(*) AS trades, exp(sum(ln(1 + greatest(strategy_return, -0.9
        -abs(exp(min(fall)) - 1) AS drawdown_score, -ln(1 + count(*)) AS trade_penalty FROM d GROUP BY member"""))
 def net_objective(spark, folder):
     return ml.net_objective(blind_trades(spark, folder), ["member"])
+
+
+# ---------------------------------------------------------------- saved models
+# pattern, calibration, own thresholds, meta level, training end, test start
+RULES = (
+    ("doji", (0.8, -0.1), (0.54, 0.44), 0.6, "1999-01-01", "1999-03-01"),
+    ("bullish_engulfing", None, (0.58, 0.42), None, "2000-01-01", None),
+    ("none", (1.2, 0.05), (0.56, 0.43), 0.57, None, None),
+    ("hammer", None, (0.55, 0.45), None, "2030-01-01", None),
+)
+RULE_SQL = " UNION ALL ".join(
+    f"SELECT '{p}__1d__h1__rule' AS model_file, '{p}' AS pattern, {c[0] if c else 1.0} AS ca, {c[1] if c else 0.0} AS cb, {lt} AS lt, {st} AS st, "
+    f"{m if m else 0.0} AS meta, {'TIMESTAMP ' + repr(end) if end else 'CAST(NULL AS TIMESTAMP)'} AS train_end, "
+    f"{'TIMESTAMP ' + repr(start) if start else 'CAST(NULL AS TIMESTAMP)'} AS test_start, {0.5 + 0.01 * i} AS auc"
+    for i, (p, c, (lt, st), m, end, start) in enumerate(RULES)
+)
+# every pattern row with the calibrated probability and position of its model
+JUDGED = f"""
+rules AS ({RULE_SQL}),
+raw AS (
+  SELECT m.*, r.ret_1, k.model_file, ca, cb, lt, st, meta, train_end, test_start, auc, CAST(least(1 - 1e-6, greatest(1e-6, coalesce({SCORE}, 0.5))) AS DOUBLE) AS p
+  FROM members m JOIN rets r USING (symbol, datetime) JOIN rules k ON k.pattern = m.member),
+prob AS (SELECT *, CASE WHEN ca = 1.0 AND cb = 0.0 THEN p ELSE least(1 - 1e-6, greatest(1e-6, 1 / (1 + exp(-(ca * ln(p / (1 - p)) + cb))))) END AS pred_prob_up FROM raw),
+sided AS (SELECT *, CASE WHEN pred_prob_up <= st THEN -1 WHEN pred_prob_up >= lt THEN 1 ELSE 0 END AS side FROM prob),
+judged AS (
+  SELECT *, CASE WHEN meta > 0 AND side <> 0 THEN 0.5 + abs(pred_prob_up - 0.5) END AS meta_prob_trade,
+         CASE WHEN meta > 0 AND side <> 0 AND 0.5 + abs(pred_prob_up - 0.5) < meta THEN 0 ELSE side END AS position FROM sided)"""
+
+
+def saved_rules(spark) -> str:
+    """The rule models, saved as bundles in a folder of their own."""
+    folder = f"{shared_folder(spark)}/side/bundles-{uuid.uuid4().hex}"
+    when = lambda text: spark.sql(f"SELECT TIMESTAMP '{text}' AS t").first().t if text else None
+    for i, (pattern, curve, (long_at, short_at), meta, end, start) in enumerate(RULES):
+        bundle = mb.rule_bundle(
+            pattern,
+            "coalesce(1 / (1 + exp(-20 * ret_1)), 0.5)",
+            ml.Calibration(*curve, True) if curve else ml.Calibration(),
+            long_at,
+            short_at,
+            "0.5 + meta_abs_edge" if meta else None,
+            meta or 0.55,
+            name="rule",
+            roc_auc=0.5 + 0.01 * i,
+            train_end=when(end),
+            test_start=when(start),
+        )
+        mb.save_bundle(spark, bundle, folder)
+    return folder
+
+
+@query("q1_scan_saved_models", "symbol:i datetime:t pattern:s model_file:s signal:s prob_up:d confidence:d edge:d model_roc_auc:d meta_prob_trade:d",
+       with_(WEEKLY, FLAGS, MEMBERS, RETURNS, JUDGED, """
+act AS (SELECT *, max(datetime) OVER (PARTITION BY symbol) AS newest FROM (SELECT *, pred_prob_up AS prob_up, CASE position WHEN 1 THEN 'up' WHEN -1 THEN 'down' END AS signal FROM judged)),
+newest_bars AS (SELECT symbol, max(datetime) AS newest_bar FROM bars GROUP BY 1),
+conf AS (SELECT *, CASE signal WHEN 'up' THEN prob_up ELSE 1 - prob_up END AS confidence, CASE signal WHEN 'up' THEN prob_up - lt ELSE st - prob_up END AS edge
+         FROM act JOIN newest_bars USING (symbol) WHERE datetime = newest_bar AND signal IS NOT NULL)""", select="""
+SELECT symbol, datetime, member AS pattern, model_file, signal, prob_up, confidence, edge, auc AS model_roc_auc, meta_prob_trade
+FROM (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY confidence DESC, auc DESC, edge DESC, member DESC) AS rk FROM conf WHERE confidence >= 0.55)
+WHERE rk = 1 ORDER BY confidence DESC, model_roc_auc DESC, edge DESC, symbol LIMIT 60"""))
+def scan_saved(spark, folder):
+    frame = bf.add_returns(pt.add_patterns(weekly_bars(spark, folder)))
+    return mb.scan_saved_models(frame, saved_rules(spark), use_model=True, min_confidence=0.55, top_n=60)
+
+
+SAVED_TRADES = f"""
+spans AS (SELECT max(datetime) FILTER (WHERE datetime < cutoff) AS last_train, max(datetime) AS last_date, min(cutoff) AS first_test FROM bars, cut),
+starts AS (SELECT model_file, CASE WHEN start <= last_date THEN start ELSE first_test END AS judged_from
+           FROM (SELECT *, greatest(coalesce(train_end, last_train), test_start) + INTERVAL 7 DAY AS start FROM rules, spans)),
+{REALIZED.format(source="bars").strip()},
+saved_trades AS (
+  SELECT j.member AS pattern, j.model_file, j.symbol, j.datetime, j.pred_prob_up, j.position, r.realized_return,
+         j.position * r.realized_return - 5.0 / 10000 - CASE WHEN j.position < 0 THEN 0.5 / 10000 ELSE 0 END AS strategy_return
+  FROM judged j JOIN starts s USING (model_file) JOIN realized r ON r.symbol = j.symbol AND r.datetime = j.datetime
+  WHERE j.datetime >= s.judged_from AND j.position <> 0 AND abs(r.realized_return) <= 3)"""
+SAVED_PARTS = (WEEKLY, FLAGS, MEMBERS, RETURNS, CUT, JUDGED, SAVED_TRADES)
+
+
+def saved_backtest(spark, folder) -> mb.Backtest:
+    frame = lb.chronological_split(bf.add_returns(pt.add_patterns(weekly_bars(spark, folder))))
+    return mb.backtest_saved_models(frame, saved_rules(spark), use_model=True, embargo_bars=7)
+
+
+@query("r18_saved_model_trades", "pattern:s model_file:s symbol:i datetime:t pred_prob_up:d position:i strategy_return:d",
+       with_(*SAVED_PARTS, select="SELECT * FROM saved_trades"))
+def saved_trades(spark, folder):
+    return saved_backtest(spark, folder).trades
+
+
+@query("r18_saved_model_summary", "pattern:s model_file:s trades:i " + rounded("win_rate_trade avg_trade_return profit_factor " + METRIC_COLS, "d5") + " backtest_start:t backtest_end:t",
+       with_(*SAVED_PARTS, "sp AS (SELECT model_file, datetime, avg(strategy_return) AS period_return FROM saved_trades GROUP BY 1, 2)", metrics_sql("sp", "model_file"),
+             f"t AS (SELECT pattern, model_file, {TRADE_METRICS} FROM saved_trades GROUP BY 1, 2)",
+             "span AS (SELECT model_file, min(datetime) AS backtest_start, max(datetime) AS backtest_end FROM bars JOIN starts ON datetime >= judged_from GROUP BY 1)",
+             select="SELECT * FROM t JOIN sp_metrics USING (model_file) JOIN span USING (model_file)"))
+def saved_summary(spark, folder):
+    return saved_backtest(spark, folder).summary
+
+
+@query("r19_saved_model_curves", "pattern:s model_file:s curve_variant:s datetime:t period_return:d cumulative_return:d5 equity_value:d1",
+       with_(*SAVED_PARTS, f"""
+blind_rows AS (
+  SELECT m.member AS pattern, s.model_file, m.datetime, b.strategy_return FROM blind b JOIN members m USING (symbol, datetime, member)
+  JOIN rules k ON k.pattern = m.member JOIN starts s ON s.model_file = k.model_file WHERE m.datetime >= s.judged_from),
+allp AS (
+  SELECT pattern, model_file, 'ml_model' AS curve_variant, datetime, avg(strategy_return) AS period_return FROM saved_trades GROUP BY 1, 2, 4
+  UNION ALL SELECT pattern, model_file, 'baseline_blind_pattern', datetime, avg(strategy_return) FROM blind_rows GROUP BY 1, 2, 4
+  UNION ALL SELECT k.pattern, s.model_file, 'baseline_universe_eqw', r.datetime, avg(r.realized_return) FROM realized r, starts s JOIN rules k USING (model_file)
+            WHERE abs(r.realized_return) <= 3 AND r.datetime >= s.judged_from GROUP BY 1, 2, 4)""".replace("blind_rows AS", BLIND.strip() + ",\nblind_rows AS", 1), select="""
+SELECT pattern, model_file, curve_variant, datetime, greatest(period_return, -0.999999999) AS period_return,
+       exp(sum(ln(1 + greatest(period_return, -0.999999999))) OVER w) - 1 AS cumulative_return, 10000 * exp(sum(ln(1 + greatest(period_return, -0.999999999))) OVER w) AS equity_value
+FROM allp WINDOW w AS (PARTITION BY model_file, curve_variant ORDER BY datetime ROWS UNBOUNDED PRECEDING)"""))
+def saved_curves(spark, folder):
+    return saved_backtest(spark, folder).curves()
