@@ -168,7 +168,7 @@ def asof_raw(spark, folder):
     li = table(spark, folder, "lineitem").select(
         "l_orderkey", "l_linenumber", "l_partkey", F.col("l_suppkey").alias("symbol"), F.col("l_shipdate").alias("datetime")
     )
-    return asof.asof_join(li, quarterly_fundamentals(spark, folder), ["symbol"], bucket="month")
+    return asof.asof_range(li, quarterly_fundamentals(spark, folder), ["symbol"])
 
 
 TRADES = """

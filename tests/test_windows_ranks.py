@@ -1,3 +1,5 @@
+import datetime as dt
+
 import numpy as np
 import pandas as pd
 import pytest
@@ -152,3 +154,45 @@ def test_recurrences_do_not_need_the_package_on_the_worker(walk):
     assert ((rsi >= 0) & (rsi <= 100)).all()
     both = out["psar_up"].notna() & out["psar_down"].notna()
     assert not both.any()
+
+
+def prints(spark, n=6000):
+    """Raw prints: symbol 0 owns a third of them, half of its rows in one minute; symbol 9 has no right row."""
+    rng = np.random.default_rng(5)
+    rows = []
+    for i in range(n):
+        s = 0 if i % 3 == 0 else int(rng.integers(1, 10))
+        minute = 5000 if s == 0 and i % 2 else int(rng.integers(0, 400_000))
+        rows.append((i, s, None if i % 997 == 5 else dt.datetime(2024, 1, 1) + dt.timedelta(minutes=minute), "kept"))
+    return spark.createDataFrame(rows, "id long, symbol long, datetime timestamp, note string"), rows
+
+
+def slow_rows(spark):
+    rng = np.random.default_rng(6)
+    rows = [(int(s), dt.datetime(2023, 12, 1) + dt.timedelta(minutes=int(rng.integers(0, 420_000))), float(rng.integers(0, 99)) if rng.random() < 0.8 else None, "right") for s in range(9) for _ in range(1 if s == 8 else 40)]
+    rows += [(0, dt.datetime(2024, 1, 1) + dt.timedelta(minutes=5000), None, "a"), (0, dt.datetime(2024, 1, 1) + dt.timedelta(minutes=5000), 7.0, "b"), (1, None, 1.0, "x")]
+    return spark.createDataFrame(rows, "symbol long, asof_datetime timestamp, cap double, note string"), rows
+
+
+@pytest.mark.parametrize("hot_rows, finest", [(1_000_000, 4096), (50, 7)])
+def test_range_asof_equals_a_search(spark, hot_rows, finest):
+    left, lrows = prints(spark)
+    right, rrows = slow_rows(spark)
+    got = {r.id: (r.symbol, r.datetime, r.note, r.asof_datetime, r.cap) for r in asof.asof_range(left, right, ["symbol"], hot_rows=hot_rows, finest=finest).collect()}
+    assert len(got) == len(lrows)
+    for i, s, t, note in lrows:
+        before = [(u, (c is not None, c)) for k, u, c, _ in rrows if k == s and u is not None and t is not None and u <= t]
+        u, c = max(before, default=(None, (False, None)))
+        assert got[i] == (s, t, note, u, c[1])
+
+
+def test_range_asof_sorts_no_print_and_splits_hot_keys(spark, monkeypatch):
+    monkeypatch.setattr(asof, "HASHED_FROM", 10)
+    left, lrows = prints(spark)
+    right, _ = slow_rows(spark)
+    out = asof.asof_range(left, right, ["symbol"], hot_rows=60)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "ShuffledHashJoin" in plan and "Sort" not in plan and "Window" not in plan and "NestedLoop" not in plan
+    assert asof.asof_range(left.limit(0), right, ["symbol"]).count() == 0
+    none = asof.asof_range(left, right.limit(0), ["symbol"])
+    assert none.count() == len(lrows) and none.where("cap is not null or asof_datetime is not null").count() == 0
