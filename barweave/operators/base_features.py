@@ -49,7 +49,7 @@ def add_rolling(frame: DataFrame, lengths: tuple[int, ...] = ROLL_BARS) -> DataF
     """Volatility, close / volume z-scores and mean traded value; needs ret_1 and dollar_volume."""
     series = {
         "ret": Series(F.col("ret_1")),
-        "close": Series(F.col("close"), centre=True),
+        "close": Series(F.col("close")),
         "volume": Series(F.nullif(F.col("volume"), F.lit(0.0))),
         "value": Series(F.col("dollar_volume"), squares=False),
     }

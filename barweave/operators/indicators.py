@@ -14,43 +14,33 @@ from barweave.functions.windows import by_symbol, guarded, last_rows, roll, roll
 AVERAGE_BARS = (5, 8, 10, 14, 20, 21, 34, 50, 89, 100, 144, 200)
 OSCILLATOR_BARS = (7, 14, 21)
 HULL_BARS = (21, 55)
-# up to this length a weighted mean is added up directly; longer ones divide by so much that running sums are as good
-DIRECT_BARS = 27
+SHORT_BARS = 27
 KST_STEPS = ((10, 10), (15, 10), (20, 10), (30, 15))
 EASE_SCALE = 100_000_000.0
 
 C, H, L, V = "close", "high", "low", "volume"
 
 
-def _weighted(roll: Rolling, n: int) -> Column:
-    """Linearly weighted mean: sum((k - (k_now - n)) x) / (n (n + 1) / 2) from two plain sums."""
-    offset = F.col("_k") - n
-    total = roll.total("kx", n, n) - offset * roll.total("x", n, n)
-    return F.col("_first") + total / (n * (n + 1) / 2.0)
-
-
-def _wma(roll: Rolling, w: WindowSpec, n: int) -> Column:
-    return lag_weighted(F.col(C), w, n) if n <= DIRECT_BARS else _weighted(roll, n)
+def _wma(rolling: Rolling, w: WindowSpec, n: int) -> Column:
+    """A few values are weighted one by one, which is exact to the last digit; many by their running ramp."""
+    return lag_weighted(F.col(C), w, n) if n <= SHORT_BARS else rolling.weighted("x", n)
 
 
 def add_moving_averages(bars: DataFrame, lengths: tuple[int, ...] = AVERAGE_BARS, hull: tuple[int, ...] = HULL_BARS) -> DataFrame:
     """sma_n, wma_n and hma_n."""
     w = by_symbol()
-    prepared = bars.withColumns({"_first": F.first(C).over(running(w)), "_k": F.row_number().over(w).cast("double")})
-    x = F.col(C) - F.col("_first")
-    series = {"x": Series(x, squares=False), "kx": Series(F.col("_k") * x, squares=False)}
     inner = {n: (n // 2, int(math.sqrt(n))) for n in hull}
     every = tuple(sorted({*lengths, *hull, *[half for half, _ in inner.values()]}))
-    roll = Rolling(prepared, w, series, every)
+    roll = Rolling(bars, w, {"x": Series(F.col(C), squares=False, ramp=True)}, every)
     out = {}
     for n in lengths:
-        out[f"sma_{n}"] = roll.mean("x", n, n) + F.col("_first")
+        out[f"sma_{n}"] = roll.mean("x", n, n)
         out[f"wma_{n}"] = _wma(roll, w, n)
     for n, (half, _) in inner.items():
         out[f"_hull_{n}"] = 2.0 * _wma(roll, w, half) - _wma(roll, w, n)
     frame = roll.select(out)
     smooth = {f"hma_{n}": lag_weighted(F.col(f"_hull_{n}"), w, m) for n, (_, m) in inner.items()}
-    return frame.withColumns(smooth).drop("_first", "_k", *[f"_hull_{n}" for n in hull])
+    return frame.withColumns(smooth).drop(*[f"_hull_{n}" for n in hull])
 
 
 def lag_weighted(x: Column, w: WindowSpec, n: int) -> Column:

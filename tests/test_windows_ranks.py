@@ -27,7 +27,7 @@ def walk(spark):
 def test_prefix_moments_match_pandas(walk):
     pdf, df = walk
     x = F.nullif(F.col("volume"), F.lit(0.0))
-    roll = Rolling(df, by_symbol(), {"v": Series(x), "c": Series(F.col("close"), centre=True)}, (5, 50))
+    roll = Rolling(df, by_symbol(), {"v": Series(x), "c": Series(F.col("close"))}, (5, 50))
     out = roll.select({"s5": roll.std("v", 5, 2), "m50": roll.mean("c", 50, 16), "z50": roll.z("c", 50, 16)}).toPandas()
     out = out.sort_values(["symbol", "datetime"]).reset_index(drop=True)
     ref = pdf.sort_values(["symbol", "datetime"]).reset_index(drop=True)
@@ -196,3 +196,28 @@ def test_range_asof_sorts_no_print_and_splits_hot_keys(spark, monkeypatch):
     assert asof.asof_range(left.limit(0), right, ["symbol"]).count() == 0
     none = asof.asof_range(left, right.limit(0), ["symbol"])
     assert none.count() == len(lrows) and none.where("cap is not null or asof_datetime is not null").count() == 0
+
+
+def test_moments_do_not_depend_on_the_history(spark):
+    """A long walk of volumes near 1e9: the last windows agree with direct sums to twelve digits."""
+    n = 300_000
+    v = F.lit(1e9) + F.pmod(F.xxhash64("id"), F.lit(1_000_003)).cast("double") * 7.25 + F.when(F.col("id") > 200_000, 3e8).otherwise(0.0)
+    frame = spark.range(n).select(F.lit("A").alias("symbol"), F.timestamp_seconds(F.col("id") * 60).alias("datetime"), "id", F.when(F.col("id") % 1000 != 7, v).alias("v"))
+    roll = Rolling(frame, by_symbol(), {"v": Series(F.col("v"), ramp=True)}, (20, 200, 500))
+    out = {f"{k}_{m}": f for m in (20, 200, 500) for k, f in (("s", roll.total("v", m, 5)), ("d", roll.std("v", m, 5)), ("w", roll.weighted("v", m)))}
+    got = roll.select(out).where("id >= 199000 and id < 202500 or id >= 297000").toPandas().sort_values("id").reset_index(drop=True)
+    x = got.v.to_numpy()
+    run = (got.id.diff().fillna(1) != 1).cumsum()
+    for m in (20, 200, 500):
+        for i in range(0, len(got), 37):
+            if i < m or run[i] != run[i - m + 1]:
+                continue
+            part = x[i - m + 1 : i + 1].astype(np.longdouble)
+            known = part[~np.isnan(part)]
+            assert abs(got[f"s_{m}"][i] / float(known.sum()) - 1) < 1e-12
+            assert abs(got[f"d_{m}"][i] / float(known.std(ddof=1)) - 1) < 1e-10
+            if len(known) == m:
+                want = float((part * np.arange(1, m + 1)).sum() / (m * (m + 1) / 2))
+                assert abs(got[f"w_{m}"][i] / want - 1) < 1e-12
+            else:
+                assert np.isnan(got[f"w_{m}"][i])
