@@ -77,14 +77,16 @@ class Node:
 
 
 def _tag_end(page: str, at: int) -> int:
-    """Place of the ``>`` that ends a tag, outside quotes if they close before the next tag."""
-    end = page.find(">", at)
+    """Place of the ``>`` that ends a tag, outside quotes if they close before the next tag; every character is seen once."""
+    end, seen = page.find(">", at), at
+    double = single = 0
     while end >= 0:
-        inside = page[at:end]
-        if inside.count('"') % 2 == 0 and inside.count("'") % 2 == 0 or "<" in inside[1:] or end - at > 4096:
+        double += page.count('"', seen, end)
+        single += page.count("'", seen, end)
+        if double % 2 == 0 and single % 2 == 0 or page.find("<", max(seen, at + 1), end) >= 0:
             return end
-        nxt = page.find(">", end + 1)
-        if nxt < 0 or "<" in page[end + 1 : nxt]:
+        seen, nxt = end, page.find(">", end + 1)
+        if nxt < 0 or page.find("<", end + 1, nxt) >= 0:
             return end
         end = nxt
     return end

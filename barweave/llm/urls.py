@@ -2,11 +2,13 @@
 
 Segments with digits, and segments of places with very many values, become
 wildcards.  Templates that differ only in their last fixed segment are sibling
-branches; those whose labels agree, and unlabelled ones beside branches of one
-kind, are merged.  A merged template is rejected if too small a share of its
-labelled pages, smoothed towards one half, is good.  Labels are the verdicts of
-the rules.  Only DataFrame expressions, joins and aggregates are used; counts
-are whole numbers, so the SQL twin agrees to the last row.
+branches.  A branch is merged with its siblings of the same majority where a test
+of two proportions finds its share of good pages like that of the most labelled of
+them; one that differs, and one without labels of its own, stands alone.  A merged template is
+rejected if too small a share of its labelled pages, smoothed towards one half,
+is good; without labels that share is one half, so it is allowed.  Labels are the
+verdicts of the rules.  Only DataFrame expressions, joins and aggregates are used,
+in the same order as in the SQL twin, which agrees to the last row.
 """
 
 from __future__ import annotations
@@ -38,6 +40,8 @@ class TemplateConfig:
     wide_pages: int = 2
     smoothing: int = 4
     least_share: int = 5
+    #: Standard errors by which the shares of merged branches may differ.
+    errors: float = 2.0
 
 
 def _split_rule(rule: str) -> tuple[str, str]:
@@ -102,15 +106,27 @@ def rejected(found: DataFrame, config: TemplateConfig = TemplateConfig()) -> Dat
     tail = F.regexp_extract("template", "((?:/?\\*)*)$", 1)
     body = F.expr("substring(template, 1, length(template) - length(tail))")
     each = each.withColumn("tail", tail).withColumn("body", body).withColumn("parent", F.regexp_extract("body", "^(.*)/[^/]*$", 1))
-    side = F.when(F.col("good") + F.col("bad") > 0, F.when(F.col("good") >= F.col("bad"), "good").otherwise("bad"))
+    labelled = F.col("good") + F.col("bad")
+    side = F.when(labelled > 0, F.when(F.col("good") >= F.col("bad"), "good").otherwise("bad")).otherwise("none")
     each = each.withColumn("side", side)
-    around = each.groupBy("host", "parent", "tail").agg(F.min("side").alias("low"), F.max("side").alias("high"))
-    each = each.join(around, ["host", "parent", "tail"]).withColumn(
-        "side", F.coalesce("side", F.when(F.col("low") == F.col("high"), F.col("low")), F.lit("none"))
-    )
-    merged = each.groupBy("host", "parent", "tail", "side").agg(F.sum("good").alias("all_good"), F.sum("bad").alias("all_bad"))
+    keys = ["host", "parent", "tail", "side"]
+    around = each.groupBy(*keys).agg(F.max(F.struct(labelled.alias("labelled"), "template", "good")).alias("kin"))
+    each = each.join(around, keys).withColumn("alike", _alike(config))
+    merged = each.where("alike").groupBy(*keys).agg(F.sum("good").alias("all_good"), F.sum("bad").alias("all_bad"))
+    each = each.join(merged, keys, "left")
+    each = each.withColumns({f"all_{c}": F.when(F.col("alike"), F.col(f"all_{c}")).otherwise(F.col(c)) for c in ("good", "bad")})
     low = config.least_share * (2 * F.col("all_good") + config.smoothing) < 2 * (F.col("all_good") + F.col("all_bad") + config.smoothing)
-    return each.join(merged, ["host", "parent", "tail", "side"]).select("host", "template", low.alias("rejected"))
+    return each.select("host", "template", low.alias("rejected"))
+
+
+def _alike(config: TemplateConfig) -> Column:
+    """Whether a branch's share of good pages is within the errors of that of ``kin``, the largest of its siblings."""
+    g, n = F.col("good").cast("double"), (F.col("good") + F.col("bad")).cast("double")
+    kin_g, kin_n = F.col("kin.good").cast("double"), F.col("kin.labelled").cast("double")
+    share = F.try_divide(g + kin_g, n + kin_n)
+    gap = F.try_divide(g, n) - F.try_divide(kin_g, kin_n)
+    spread = share * (1.0 - share) * (F.try_divide(F.lit(1.0), n) + F.try_divide(F.lit(1.0), kin_n))
+    return (n == 0) | (gap * gap <= config.errors * config.errors * spread)
 
 
 def judge(df: DataFrame, rules=RULES, config: TemplateConfig = TemplateConfig(), id_col: str = "page_id", url_col: str = "url") -> DataFrame:
@@ -175,17 +191,25 @@ bodies AS (
   FROM each_one
 ),
 sides AS (
-  SELECT *, regexp_extract(body, '^(.*)/[^/]*$', 1) AS parent,
-    CASE WHEN good + bad > 0 THEN CASE WHEN good >= bad THEN 'good' ELSE 'bad' END END AS own_side
+  SELECT *, regexp_extract(body, '^(.*)/[^/]*$', 1) AS parent, CAST(good AS DOUBLE) AS g, CAST(good + bad AS DOUBLE) AS n,
+    CASE WHEN good + bad > 0 THEN CASE WHEN good >= bad THEN 'good' ELSE 'bad' END ELSE 'none' END AS side
   FROM bodies
 ),
-settled AS (
-  SELECT *, coalesce(own_side, CASE WHEN min(own_side) OVER w = max(own_side) OVER w THEN min(own_side) OVER w END, 'none') AS side
-  FROM sides WINDOW w AS (PARTITION BY host, parent, tail)
+kin AS (
+  SELECT *, CAST(k.good AS DOUBLE) AS kg, CAST(k.labelled AS DOUBLE) AS kn
+  FROM (SELECT *, max({{'labelled': good + bad, 'template': template, 'good': good}}) OVER (PARTITION BY host, parent, tail, side) AS k FROM sides)
+),
+tested AS (
+  SELECT *, n = 0 OR (g / n - kg / kn) * (g / n - kg / kn)
+    <= {config.errors} * {config.errors} * ((g + kg) / (n + kn) * (1.0::DOUBLE - (g + kg) / (n + kn)) * (1.0::DOUBLE / n + 1.0::DOUBLE / kn)) AS alike
+  FROM kin
+),
+totals AS (
+  SELECT host, template, CASE WHEN alike THEN sum(good) FILTER (alike) OVER w ELSE good END AS all_good, CASE WHEN alike THEN sum(bad) FILTER (alike) OVER w ELSE bad END AS all_bad
+  FROM tested WINDOW w AS (PARTITION BY host, parent, tail, side)
 ),
 merged AS (
-  SELECT host, template, {config.least_share} * (2 * sum(good) OVER w + {config.smoothing}) < 2 * (sum(good) OVER w + sum(bad) OVER w + {config.smoothing}) AS rejected
-  FROM settled WINDOW w AS (PARTITION BY host, parent, tail, side)
+  SELECT host, template, {config.least_share} * (2 * all_good + {config.smoothing}) < 2 * (all_good + all_bad + {config.smoothing}) AS rejected FROM totals
 )
 SELECT r.page_id, r.host, r.path, r.rule, coalesce(r.label, CASE WHEN m.rejected THEN 'block' ELSE 'allow' END) AS verdict
 FROM ruled r JOIN found f ON r.host = f.host AND r.path = f.path JOIN merged m ON f.host = m.host AND f.template = m.template

@@ -71,12 +71,29 @@ def test_parts_and_rules(spark):
     assert [got[11].host, got[11].path] == ["b:", "//c/d"] and got[12].rule is None and got[13].host == "É.net" and got[14].rule is None
 
 
+def test_alike_siblings_are_merged(spark):
+    """A few blocked pages of a mixed branch weigh with branches like it, not with ones that differ; no label, no block."""
+    rules = (("block", "m.org/x/a/7"), ("block", "m.org/x/b/7"), ("allow", "m.org/x/c/"), ("block", "m.org/y/"), ("allow", "m.org/y/ok/1"))
+    rows = [f"http://m.org/x/a/7{i}" for i in range(3)] + [f"http://m.org/x/b/7{i}" for i in range(60)] + ["http://m.org/x/a/1", "http://m.org/x/b/1"]
+    rows += [f"http://m.org/x/c/{i}" for i in range(30)] + ["http://m.org/x/d/1"]
+    rows += [f"http://m.org/y/ok/1{i}" for i in range(10)] + [f"http://m.org/y/ok/2{i}" for i in range(11)] + [f"http://m.org/y/no/{i}" for i in range(400)]
+    got = {r.path: r for r in urls.judge(spark.createDataFrame(list(enumerate(rows)), "page_id long, url string"), rules).collect()}
+    # a has three labels, too few to be blocked alone; b's say the same
+    assert got["/x/a/1"].verdict == "block" and got["/x/b/1"].verdict == "block"
+    assert got["/x/d/1"].verdict == "allow" and got["/x/c/1"].verdict == "allow"
+    found = spark.createDataFrame(
+        [("h", f"/{t}/{i}", 1, "allow" if i < g else "block", f"p/{t}/*") for t, g, n in (("half", 10, 21), ("bad", 0, 400), ("few", 0, 2)) for i in range(n)] + [("h", "/none", 1, None, "p/none/*")],
+        "host string, path string, n long, label string, template string",
+    )
+    assert {r.template: r.rejected for r in urls.rejected(found).collect()} == {"p/half/*": False, "p/bad/*": True, "p/few/*": True, "p/none/*": False}
+
+
 def test_siblings_share_labels(spark):
     rows = [f"http://s.net/fr/{i}" for i in range(12)] + ["http://s.net/en/1", "http://o.org/en/1", "http://s.net/x/y/z"]
     rows += [f"http://wide.org/v/{'abcdefghijklmnopqrstuvwxyz'[i]}" for i in range(26)]
     df = spark.createDataFrame(list(enumerate(rows)), "page_id long, url string")
     got = {r.page_id: r for r in urls.judge(df).collect()}
-    assert got[12].verdict == "block" and got[12].template == "en/*"  # like its sibling /fr/*
+    assert got[12].verdict == "allow" and got[12].template == "en/*"  # it has no label of its own
     assert got[13].verdict == "allow" and got[14].verdict == "allow"
     assert {got[i].template for i in range(15, 41)} == {"v/*"}
 
@@ -237,3 +254,9 @@ def test_redaction(spark):
 def test_no_rows(spark):
     spans, model = pii.find(spark.createDataFrame([], "doc_id long, text string"))
     assert pii.digest(spans).count() == 0 and model.weights == {}
+
+
+def test_a_long_attribute_may_hold_an_end_of_tag(spark):
+    page = '<html><body><p data-x="' + "a" * 9000 + 'b">c" class=x>Some text, with commas, that is long enough to be kept as an article.</p></body></html>'
+    got = html_text.extract(spark.createDataFrame([(None, "u", page), (1, "u", '<p title="' + ">" * 200_000)], "page_id long, url string, html string")).collect()
+    assert {r.page_id: r.text for r in got}[None] == "Some text, with commas, that is long enough to be kept as an article."
