@@ -257,6 +257,6 @@ def test_no_rows(spark):
 
 
 def test_a_long_attribute_may_hold_an_end_of_tag(spark):
-    page = '<html><body><p data-x="' + "a" * 9000 + 'b">c" class=x>Some text, with commas, that is long enough to be kept as an article.</p></body></html>'
+    page = '<html><body><p data-x="' + "a" * 9000 + 'b>c" class=x>Some text, with commas, that is long enough to be kept as an article.</p></body></html>'
     got = html_text.extract(spark.createDataFrame([(None, "u", page), (1, "u", '<p title="' + ">" * 200_000)], "page_id long, url string, html string")).collect()
     assert {r.page_id: r.text for r in got}[None] == "Some text, with commas, that is long enough to be kept as an article."
