@@ -95,3 +95,17 @@ def pct_ranks(df: DataFrame, date_col: str, names: dict[str, str], slices: int =
         own = ranks.where(F.col("_c") == value).select(date_col, F.col("_v").alias(value), F.col("_rank").alias(result))
         out = out.join(own, [date_col, value], "left")
     return out.select(*df.columns, *names.values())
+
+
+def add_place(df: DataFrame, order: list[Column], out: str = "place") -> DataFrame:
+    """Row number in a global order, from 1, without a task that sees all rows.
+
+    Rows are dealt out by ranges of the order and sorted there; one row per range
+    carries the counts of the ranges before.
+    """
+    dealt = df.repartitionByRange(*order).sortWithinPartitions(*order)
+    dealt = settle(dealt.withColumns({"_range": F.spark_partition_id(), "_seq": F.monotonically_increasing_id()}))
+    ranges = dealt.groupBy("_range").agg(F.min("_seq").alias("_first"), F.count(F.lit(1)).alias("_n"))
+    line = Window.orderBy("_range")  # one row per range
+    ranges = ranges.select("_range", (F.sum("_n").over(line) - F.col("_n") - F.col("_first") + 1).alias("_shift"))
+    return dealt.join(ranges, "_range").select(*df.columns, (F.col("_seq") + F.col("_shift")).alias(out))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from barweave.functions.missing import clip, ratio
+from barweave.functions.tables import add_place, keep_last
 from barweave.operators.reports import month_end
 
 # Fixed values of the model.
@@ -151,7 +152,7 @@ def value_companies(
     newest = balance.groupBy("symbol").agg(F.max_by(F.struct(*balance.columns), "date").alias("_b")).select("_b.*")
     newest = newest.withColumnRenamed("date", "latest_quarter_date")
     frame = (
-        quotes.dropDuplicates(["symbol"])
+        keep_last(quotes, ["symbol"], [F.struct(*[c for c in quotes.columns if c != "symbol"])])
         .join(trailing_sums(income, cash), "symbol", "left")
         .join(geometric_growth(annual_income, "revenue", "revenue"), "symbol", "left")
         .join(geometric_growth(annual_cash, "operating_cashflow", "ocf"), "symbol", "left")
@@ -202,5 +203,5 @@ def value_companies(
 
 
 def ranked_table(values: DataFrame) -> DataFrame:
-    """Best upside first, then strength; rows without an upside last."""
-    return values.orderBy(F.desc_nulls_last("upside_pct"), F.desc_nulls_last("signal_strength"), "symbol")
+    """Companies with their ``place``: best upside first, then strength; rows without an upside last."""
+    return add_place(values, [F.desc_nulls_last("upside_pct"), F.desc_nulls_last("signal_strength"), F.col("symbol")])

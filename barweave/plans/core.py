@@ -29,12 +29,15 @@ def bar_scan(spark, folder):
 
 
 @query("s2_bar_store_roundtrip", BAR + " interval:s",
-       with_(WEEKLY, EVENT_DAY, select="SELECT *, '1d' AS interval FROM day_bars WHERE datetime >= TIMESTAMP '2024-01-08'"))
+       with_(WEEKLY, EVENT_DAY, select="SELECT * REPLACE (CASE WHEN symbol % 3 = 0 THEN volume * 2 ELSE volume END AS volume), '1d' AS interval FROM day_bars"))
 def bar_store(spark, folder):
     path = f"{shared_folder(spark)}/bars/{sd.fresh_name()}"
     sb.save_bars(weekly_bars(spark, folder), path, "1wk")
-    sb.save_bars(event_day_bars(spark, folder), path, "1d")
-    return sb.scan_bars(spark, path, "1d").where(F.col("datetime") >= ts("2024-01-08"))
+    days = event_day_bars(spark, folder)
+    sb.save_bars(days, path, "1d")
+    # some symbols come again and take the place of what is stored
+    sb.save_bars(days.where(F.col("symbol") % 3 == 0).withColumn("volume", F.col("volume") * 2), path, "1d")
+    return sb.scan_bars(spark, path, "1d")
 
 
 @query("s3_dataset_roundtrip", BAR + " pattern:s " + rounded(" ".join(f"pattern_{p}" for p in PATTERN_NAMES), "i"),

@@ -48,14 +48,14 @@ def trades_csv(spark, folder):
 
 @query("s7_json_payload", "event_id:i name:s k:s", """
 SELECT event_id, NULL AS name, CAST(json_extract(props, '$.k') AS VARCHAR) AS k FROM events
-UNION ALL SELECT event_id, event_type, NULL FROM events WHERE event_id % 3 = 0
+UNION ALL SELECT event_id, event_type, NULL FROM events WHERE event_id % 3 = 1
 UNION ALL SELECT event_id, NULL, CAST(json_extract(props, '$.k') AS VARCHAR) FROM events WHERE event_id % 3 = 2""")
 def json_payload(spark, folder):
     ev_ = table(spark, folder, "events")
     i, p = F.col("event_id"), F.col("props")
     payload = (
         F.when(i % 3 == 0, F.concat(F.lit('{"meta": 1, "historical": ['), p, F.lit(', "'), F.col("event_type"), F.lit('"]}')))
-        .when(i % 3 == 1, F.concat(F.lit("["), p, F.lit("]")))
+        .when(i % 3 == 1, F.concat(F.lit("["), p, F.lit(', "'), F.col("event_type"), F.lit('"]')))
         .otherwise(F.concat(F.lit('{"data": ['), p, F.lit(", "), p, F.lit("]}")))
     )
     rows = ld.payload_rows(ev_.select("event_id", payload.alias("payload")))

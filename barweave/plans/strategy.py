@@ -582,8 +582,4 @@ def valuation(spark, folder):
 @query("v9_ranked_table", "symbol:i upside_pct:d5 signal_strength:d5 place:i", with_(WEEKLY, MONTHLY, BETA_SQL, STATEMENTS, VALUES, select="""
        SELECT symbol, upside_pct, signal_strength, row_number() OVER (ORDER BY upside_pct DESC NULLS LAST, signal_strength DESC NULLS LAST, symbol) AS place FROM vals"""))
 def ranked(spark, folder):
-    from pyspark.sql import Window
-
-    table_ = va.ranked_table(valued(spark, folder))
-    order = Window.orderBy(F.desc_nulls_last("upside_pct"), F.desc_nulls_last("signal_strength"), "symbol")  # one row per company
-    return table_.withColumn("place", F.row_number().over(order))
+    return va.ranked_table(valued(spark, folder))

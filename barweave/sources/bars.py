@@ -7,35 +7,63 @@ a symbol has: raw prints are combined map-side before they meet.
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F, types as T
 
 from barweave.functions.missing import finite, ratio
-from barweave.functions.tables import keep_first
+from barweave.functions.tables import keep_first, settle
 
 OHLCV = ("open", "high", "low", "close", "volume")
 
 
 def scan_bars(spark: SparkSession, path: str, interval: str | None = None, symbols: list[str] | None = None) -> DataFrame:
-    """Read a bar store; ``interval`` prunes partitions, ``symbols`` is pushed to the files."""
+    """Read a bar store; ``interval`` and ``symbols`` prune partitions, ``symbols`` is also pushed to the files."""
     # the interval is declared as text: inference would read "1d" as the number 1.0
-    found = spark.read.parquet(path).drop("interval").schema
-    bars = spark.read.schema(T.StructType([*found.fields, T.StructField("interval", T.StringType())])).parquet(path)
+    found = spark.read.parquet(path).drop("interval", "symbol_bucket").schema
+    keys = [T.StructField("interval", T.StringType()), T.StructField("symbol_bucket", T.IntegerType())]
+    bars = spark.read.schema(T.StructType([*found.fields, *keys])).parquet(path)
     if interval is not None:
         bars = bars.where(F.col("interval") == interval)
     if symbols is not None:
-        bars = bars.where(F.col("symbol").isin(symbols))
-    return bars
-
-
-def save_bars(bars: DataFrame, path: str, interval: str, mode: str = "append") -> None:
-    """Write bars under their interval, sorted inside each file so symbol filters skip row groups."""
-    (
-        bars.withColumn("interval", F.lit(interval))
-        .sortWithinPartitions("symbol", "datetime")
-        .write.mode(mode)
-        .partitionBy("interval")
-        .parquet(path)
-    )
+        # both filters: the folders of other buckets are not listed, row groups of other symbols are skipped
+        bars = bars.where(F.col("symbol_bucket").isin([symbol_bucket(F.lit(s)) for s in symbols]) & F.col("symbol").isin(symbols))
+    return bars.drop("symbol_bucket")
+
+
+SYMBOL_BUCKETS = 64
+
+
+def symbol_bucket(symbol: Column) -> Column:
+    return F.pmod(F.xxhash64(symbol.cast("string")), F.lit(SYMBOL_BUCKETS)).cast("int")
+
+
+def save_bars(bars: DataFrame, path: str, interval: str, mode: str = "upsert") -> None:
+    """Write bars under their interval and a hash bucket of the symbol, sorted inside each file so symbol filters skip row groups.
+
+    By default the bars of a symbol take the place of all it had for the interval; only the buckets of the symbols that are
+    saved are written anew, with the other symbols they hold.  ``append`` adds, ``overwrite`` clears the whole store.
+    """
+    spark = bars.sparkSession
+    rows = bars.withColumns({"interval": F.lit(interval), "symbol_bucket": symbol_bucket(F.col("symbol"))})
+    if mode == "upsert":
+        rows = settle(rows)
+        rows = settle(rows.unionByName(_others(spark, rows, path, interval), allowMissingColumns=True))
+    dealt = rows.repartition("symbol_bucket").sortWithinPartitions("symbol_bucket", "symbol", "datetime")
+    writer = dealt.write.mode("overwrite" if mode == "upsert" else mode).partitionBy("interval", "symbol_bucket")
+    (writer.option("partitionOverwriteMode", "dynamic") if mode == "upsert" else writer).parquet(path)
+
+
+def _others(spark: SparkSession, rows: DataFrame, path: str, interval: str) -> DataFrame:
+    """Stored bars of other symbols in the buckets that are about to be written; they have to be kept."""
+    try:
+        stored = scan_bars(spark, path, interval)
+    except AnalysisException as error:
+        if not any(word in str(error) for word in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA")):
+            raise
+        return rows.limit(0)
+    buckets = [r.symbol_bucket for r in rows.select("symbol_bucket").distinct().collect()]  # 64 at most
+    stored = stored.withColumn("symbol_bucket", symbol_bucket(F.col("symbol"))).where(F.col("symbol_bucket").isin(buckets))
+    return stored.join(rows.select("symbol").distinct(), "symbol", "left_anti")
 
 
 # Field names of the compact vendor payload and their bar columns.

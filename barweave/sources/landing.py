@@ -66,10 +66,14 @@ def read_trades(spark: SparkSession, path: str) -> DataFrame:
 
 
 def payload_items(payload: Column) -> Column:
-    """A payload (JSON list, or object holding a list) as an array of JSON objects; bare strings become ``{"name": ...}``."""
+    """A payload (JSON list, or object holding a list) as an array of JSON objects.
+
+    Bare strings of a list become ``{"name": ...}``; of a list inside an object only the objects count.
+    """
     as_list = lambda text: F.from_json(text, "array<string>")
     nested = F.coalesce(*[as_list(F.get_json_object(payload, f"$.{f}")) for f in LIST_FIELDS])
-    items = F.when(F.ltrim(payload).startswith("["), as_list(payload)).otherwise(nested)
+    objects = F.filter(nested, lambda x: F.ltrim(x).startswith("{"))
+    items = F.when(F.ltrim(payload).startswith("["), as_list(payload)).otherwise(objects)
     return F.transform(
         items, lambda x: F.when(F.ltrim(x).startswith("{"), x).otherwise(F.to_json(F.struct(x.alias("name"))))
     )
