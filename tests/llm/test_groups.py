@@ -307,3 +307,12 @@ def test_pipeline_on_an_empty_table(spark, tmp_path):
     spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(str(tmp_path / "documents.parquet"))
     spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_pipeline_stages_keep_columns_of_any_name_and_type(spark):
+    rows = [(i % 3, "write to joe@example.com, " + f"word{i} " * 60, {"a": i}, "c", [1.5]) for i in range(6)] * 2
+    df = spark.createDataFrame(rows, "doc_id long, text string, tags map<string,int>, _cands string, row array<double>")
+    one = corpus_pipeline.near_duplicates(spark, df, "")
+    assert one.columns == df.columns and one.count() == 6
+    clean = corpus_pipeline.personal_data(spark, df, "").collect()
+    assert len(clean) == 12 and all("<email>" in r.text and "joe@" not in r.text and r._cands == "c" and r.row == [1.5] and r.tags for r in clean)
