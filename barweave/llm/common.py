@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable, Iterable, Iterator
-from itertools import repeat
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -104,7 +104,7 @@ class UnitCoder:
         """Ids of all texts in one array, and how many each text has."""
         if len(self.codes) > self.limit:
             self._reset()
-        units = [u for x in texts for u in x]
+        units = list(chain.from_iterable(texts))
         codes = np.fromiter(map(self.codes.get, units, repeat(-1)), np.int64, len(units))
         missing = np.flatnonzero(codes < 0).tolist()
         if missing:

@@ -105,7 +105,7 @@ def library_encoder(path: str):
     def encode(units: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """A call of the library has a price, so units that it keeps apart are sent many at a time; a text that does not
         come apart into as many units as went in (say, for a special token inside) is sent unit by unit."""
-        joint = np.fromiter((bool(fits(u)) for u in units), bool, len(units)) if fits else np.zeros(len(units), bool)
+        joint = np.fromiter(map(bool, map(fits, units)), bool, len(units)) if fits else np.zeros(len(units), bool)
         done = np.zeros(len(units), bool)
         flats, lengths = [], np.zeros(len(units), np.int64)
         if joint.any():
