@@ -583,14 +583,14 @@ class FittedPattern:
     counts: dict[str, int]
 
 
-def fit_pattern(train: DataFrame, test: DataFrame, columns: Sequence[str], config: TrainConfig) -> FittedPattern | str:
-    """Select, fit, calibrate, tune and filter one model; or why there is none."""
+def fit_pattern(train: DataFrame, test: DataFrame, columns: Sequence[str], config: TrainConfig, judge_test: bool = True) -> FittedPattern | str:
+    """Select, fit, calibrate, tune and filter one model; or why there is none.  Without ``judge_test`` one class in the test rows is enough."""
     train, test = settle(train), settle(test)
     if train.limit(config.min_rows).count() < config.min_rows:
         return f"fewer than {config.min_rows} training rows"
     if not _two_classes(train):
         return "one class in the training rows"
-    if not _two_classes(test):
+    if judge_test and not _two_classes(test):
         return "one class or no row in the test rows"
     if config.selection:
         picked = select_features(train, columns, config.selection, config.size)
@@ -653,38 +653,30 @@ def _skip_row(frame: DataFrame, name: str, config: TrainConfig, why: str) -> Dat
     )
 
 
-def training_parts(dataset: DataFrame, patterns: Sequence[str], config: TrainConfig, window: tuple | None = None):
+def newest(train: DataFrame, rows: int | None) -> DataFrame:
+    return train.orderBy(F.desc("datetime"), "symbol").limit(rows) if rows else train
+
+
+def training_parts(dataset: DataFrame, patterns: Sequence[str], config: TrainConfig):
     """``(pattern, unpurged training rows, training rows, test rows, start of the test part)`` of each pattern."""
-    frame = dataset if window else add_training_label_end(dataset, config)
+    frame = add_training_label_end(dataset, config)
     test = F.col("split") == "test"
-    if window:
-        start = window[0]
-        at = lb.embargoed(F.lit(start), config.costs.interval, config.embargo_bars)
-        test = test & (F.col("datetime") >= at) & (F.col("label_end_datetime") < F.lit(window[1]))
-    else:
-        start = frame.where(test).agg(F.min("datetime")).first()[0]
-        at = F.lit(start)
+    start = frame.where(test).agg(F.min("datetime")).first()[0]
     for name in patterns:
         rows = pt.pattern_subset(frame, name)
         raw = rows.where(F.col("split") == "train")
-        train = lb.purge(raw, at)
-        if config.max_rows:
-            train = train.orderBy(F.desc("datetime"), "symbol").limit(config.max_rows)
+        train = newest(lb.purge(raw, F.lit(start)), config.max_rows)
         yield name, raw, train, rows.where(test), start
 
 
-def train_patterns(
-    dataset: DataFrame, columns: Sequence[str], patterns: Sequence[str], config: TrainConfig = TrainConfig(), window: tuple | None = None
-) -> DataFrame:
+def train_patterns(dataset: DataFrame, columns: Sequence[str], patterns: Sequence[str], config: TrainConfig = TrainConfig()) -> DataFrame:
     """Train one model per pattern and return the scored test rows of all of them as one signal table.
 
     Labels end ``horizon + latency + embargo_bars`` bars on, so an embargo purges more.
-    With a ``window`` (test start and end, of a walk forward) the test part also
-    starts ``embargo_bars`` later, and its labels must end inside it.  A pattern
-    without a model has one row that says why in ``skipped_because``.
+    A pattern without a model has one row that says why in ``skipped_because``.
     """
     out = None
-    for name, _, train, test, _ in training_parts(dataset, patterns, config, window):
+    for name, _, train, test, _ in training_parts(dataset, patterns, config):
         fitted = fit_pattern(train, test, columns, config)
         if isinstance(fitted, str):
             blank = _skip_row(dataset, name, config, fitted)
@@ -738,25 +730,3 @@ def purged_cv(frame: DataFrame, columns: Sequence[str], folds: int = 3, purge_ba
         part = binary_metrics(scored, ["fold"], "future_direction", "prob_raw").select("fold", "rows", "roc_auc", F.lit(None).cast("string").alias("skipped_because"))
         out = out.unionByName(part)
     return out
-
-
-def walk_forward(
-    dataset: DataFrame, columns: Sequence[str], patterns: Sequence[str], windows: DataFrame, config: TrainConfig = TrainConfig()
-) -> DataFrame:
-    """Retrain inside every window and score its test part; the window list is one row per step of the calendar.
-
-    Label ends come from all bars, before a window cuts them; windows without a model keep their skip rows.
-    """
-    dataset = add_training_label_end(dataset, config)
-    plan = windows.orderBy("window_no").collect()  # one row per window
-    out = None
-    for w in plan:
-        known = (F.col("datetime") >= F.lit(w.train_start)) & (F.col("datetime") < F.lit(w.test_end))
-        split = F.when(F.col("datetime") >= F.lit(w.test_start), "test").otherwise("train")
-        part = dataset.where(known).drop("split").withColumn("split", split)
-        scored = train_patterns(part, columns, patterns, config, (w.test_start, w.test_end))
-        tagged = scored.withColumn("window_no", F.lit(w.window_no)).withColumn("window_start", F.lit(w.test_start))
-        out = tagged if out is None else out.unionByName(tagged)
-    if out is None:
-        raise ValueError("the window list is empty")
-    return out

@@ -6,6 +6,7 @@ one grouped aggregation serves every strategy at once.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
@@ -206,10 +207,10 @@ def universe_baseline(frame: DataFrame) -> DataFrame:
     )
 
 
-def dedupe_windows(signals: DataFrame) -> DataFrame:
-    """One row per (symbol, datetime): earliest window, then the most decided probability."""
+def dedupe_windows(signals: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
+    """One row per (keys, symbol, datetime): earliest window, then the most decided probability."""
     order = [F.col("window_start"), -F.abs(F.col("pred_prob_up") - 0.5), F.col("pred_prob_up")]
-    return keep_first(signals, ["symbol", "datetime"], order)
+    return keep_first(signals, [*keys, "symbol", "datetime"], order)
 
 
 def first_judged(models: DataFrame, frame: DataFrame, interval: str, embargo_bars: int = 0) -> DataFrame:

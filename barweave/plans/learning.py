@@ -7,12 +7,12 @@ import uuid
 from pyspark.sql import functions as F
 
 from barweave.functions.tables import settle, shared_folder
-from barweave.operators import base_features as bf, bundles as mb, context as cx, labels as lb, learn as ml, patterns as pt, reports as rp, signals as sg
+from barweave.operators import base_features as bf, bundles as mb, context as cx, labels as lb, learn as ml, patterns as pt, portfolio as pf, reports as rp, signals as sg, walkforward as wf
 from barweave.plans.context import guard
-from barweave.plans.core import CUT, METRIC_COLS, SCORE, blind_trades
+from barweave.plans.core import CUT, METRIC_COLS, SCORE, WINDOWS, blind_trades
 from barweave.plans.registry import query, rounded
 from barweave.plans.sqlparts import BLIND, FLAGS, FUTURE, MEMBERS, REALIZED, RETURNS, TRADE_METRICS, WEEKLY, metrics_sql, with_
-from barweave.plans.strategy import SIGNAL_PARTS, scored_members
+from barweave.plans.strategy import PICKED, SIGNAL_PARTS, SIZED, scored_members
 from barweave.sources.demo import table, weekly_bars
 
 FEATURES = ["ret_1", "ret_2", "ret_5", "hl_spread", "co_spread", "gap", "volatility_20", "z_close_20", "z_volume_20", "up_streak", "down_streak"]
@@ -162,9 +162,93 @@ def purged_cv(spark, folder):
 
 @query("x13_walk_forward", "window_no:i pattern:s symbol:i datetime:t pred_prob_up:d position:i")
 def walk_forward(spark, folder):
+    """Scores of models retrained in every window for every pattern."""
     frame = dataset(spark, folder).drop("split")
-    windows = lb.walk_forward_windows(frame, 1200, 400, 400, keep_last=2)
-    return ml.walk_forward(frame, FEATURES, ("doji",), windows, ml.TrainConfig(size=QUICK, meta_filter=False))
+    windows = lb.walk_forward_windows(frame, 1200, 400, 400)
+    config = ml.TrainConfig(size=QUICK, meta_filter=False)
+    return wf.walk_forward(frame, windows, wf.retrain(FEATURES, config), config, workers=8).scored
+
+
+# a rule with one learned number, the mean of ret_1 over the training rows, so that a twin can retrain it
+WALK = sg.Costs(latency=1)
+WALK_PARTS = (WEEKLY, FLAGS, MEMBERS, RETURNS, WINDOWS, f"""
+walk_ends AS (
+  SELECT symbol, datetime, ret_1, lead(datetime, 3) OVER w AS label_end, lead(close, 2) OVER w / lead(close) OVER w - 1 AS realized_return
+  FROM rets WINDOW w AS (PARTITION BY symbol ORDER BY datetime)),
+walk_rows AS (
+  SELECT member AS pattern, window_no, e.*,
+         CASE WHEN datetime >= test_start + INTERVAL 1 DAY AND datetime < test_end AND label_end < test_end THEN 'test'
+              WHEN datetime >= train_start AND datetime < test_start AND label_end < test_start + INTERVAL 1 DAY THEN 'train' END AS role,
+         test_start + INTERVAL 1 DAY AS window_start
+  FROM walk_ends e JOIN members m USING (symbol, datetime), win WHERE e.ret_1 IS NOT NULL),
+walk_fit AS (
+  SELECT pattern, window_no, avg(ret_1) AS center FROM walk_rows WHERE role = 'train' GROUP BY 1, 2 HAVING count(*) >= 120),
+walk_test AS (
+  SELECT r.*, 1 / (1 + exp(-20 * (ret_1 - center))) AS pred_prob_up FROM walk_rows r JOIN walk_fit USING (pattern, window_no)
+  WHERE role = 'test' AND abs(realized_return) <= 3),
+walk_trades AS (
+  SELECT *, position * realized_return - 5.0 / 10000 - CASE WHEN position < 0 THEN 2 * 0.5 / 10000 ELSE 0 END AS strategy_return
+  FROM (SELECT *, CASE WHEN pred_prob_up <= 0.45 THEN -1 WHEN pred_prob_up >= 0.55 THEN 1 ELSE 0 END AS position FROM walk_test) WHERE position <> 0),
+walk_used AS (SELECT DISTINCT pattern, window_no FROM walk_trades)""")
+
+
+def walked(spark, folder) -> wf.WalkForward:
+    def centered(train, test):
+        center = train.agg(F.avg("ret_1")).first()[0]
+        prob = F.lit(1.0) / (F.lit(1.0) + F.exp((F.col("ret_1") - F.lit(center)) * -20.0))
+        return test.withColumn("pred_prob_up", prob).withColumn("position", sg.position(F.col("pred_prob_up"), F.lit(0.55), F.lit(0.45)))
+
+    frame = bf.add_rolling(bf.add_shape(bf.add_returns(pt.add_patterns(weekly_bars(spark, folder)))), (20,))
+    windows = lb.walk_forward_windows(frame, 730, 365, 365)
+    # rows without a return have nothing to be judged by; label ends and realized returns still see them
+    return wf.walk_forward(frame, windows, centered, ml.TrainConfig(costs=WALK, embargo_bars=1), workers=8, rows=F.col("ret_1").isNotNull())
+
+
+@query("x13_walk_forward_trades", "pattern:s window_start:t symbol:i datetime:t pred_prob_up:d realized_return:d strategy_return:d",
+       with_(*WALK_PARTS, select="SELECT * FROM walk_trades"))
+def walk_trades(spark, folder):
+    return walked(spark, folder).trades
+
+
+@query("x13_walk_forward_summary", "pattern:s model_file:s windows_used:i trades:i " + rounded("win_rate_trade avg_trade_return profit_factor " + METRIC_COLS, "d5") + " start_datetime:t end_datetime:t",
+       with_(*WALK_PARTS, "wp AS (SELECT pattern, datetime, avg(strategy_return) AS period_return FROM walk_trades GROUP BY 1, 2)", metrics_sql("wp", "pattern"),
+             f"t AS (SELECT pattern, 'walk_forward_retrain' AS model_file, count(DISTINCT window_no) AS windows_used, {TRADE_METRICS} FROM walk_trades GROUP BY 1)",
+             select="SELECT * FROM t JOIN wp_metrics USING (pattern)"))
+def walk_summary(spark, folder):
+    return walked(spark, folder).summary
+
+
+@query("x13_walk_forward_curves", "pattern:s curve_variant:s datetime:t period_return:d cumulative_return:d5 equity_value:d1",
+       with_(*WALK_PARTS, """
+walk_blind AS (
+  SELECT pattern, datetime, side * realized_return - 5.0 / 10000 - CASE WHEN side < 0 THEN 2 * 0.5 / 10000 ELSE 0 END AS strategy_return
+  FROM (SELECT *, CASE WHEN regexp_matches(pattern, 'bearish|shooting_star|evening_star|dark_cloud_cover') THEN -1 ELSE 1 END AS side
+        FROM walk_test JOIN walk_used USING (pattern, window_no))),
+walk_universe AS (
+  SELECT window_no, datetime, avg(realized_return) AS period_return FROM walk_ends, win
+  WHERE datetime >= test_start + INTERVAL 1 DAY AND datetime < test_end AND label_end < test_end AND abs(realized_return) <= 3 GROUP BY 1, 2),
+allp AS (
+  SELECT pattern, 'ml_model' AS curve_variant, datetime, avg(strategy_return) AS period_return FROM walk_trades GROUP BY 1, 3
+  UNION ALL SELECT pattern, 'baseline_blind_pattern', datetime, avg(strategy_return) FROM walk_blind GROUP BY 1, 3
+  UNION ALL SELECT pattern, 'baseline_universe_eqw', datetime, avg(period_return) FROM walk_universe JOIN walk_used USING (window_no) GROUP BY 1, 3)""", select="""
+SELECT pattern, curve_variant, datetime, greatest(period_return, -0.999999999) AS period_return,
+       exp(sum(ln(1 + greatest(period_return, -0.999999999))) OVER w) - 1 AS cumulative_return, 10000 * exp(sum(ln(1 + greatest(period_return, -0.999999999))) OVER w) AS equity_value
+FROM allp WINDOW w AS (PARTITION BY pattern, curve_variant ORDER BY datetime ROWS UNBOUNDED PRECEDING)"""))
+def walk_curves(spark, folder):
+    return walked(spark, folder).curves()
+
+
+@query("x13_walk_forward_portfolio", "pattern:s trades:i " + rounded("win_rate_trade avg_trade_return profit_factor " + METRIC_COLS, "d5"),
+       with_(*WALK_PARTS, f"""
+walk_vol AS (SELECT symbol, datetime, {guard("stddev_samp(ret_1)", "ret_1", 20, 10)} AS volatility_20 FROM rets),
+signals AS (SELECT t.*, pred_prob_up - 0.5 AS score, volatility_20 FROM walk_trades t JOIN walk_vol USING (symbol, datetime))""",
+             PICKED, SIZED.replace("* 0.5 / 10000", "* 2 * 0.5 / 10000"),
+             "pf AS (SELECT 'portfolio_combined_walk_forward' AS pattern, datetime, sum(strategy_return) AS period_return FROM pf_trades GROUP BY 2)",
+             metrics_sql("pf", "pattern"), f"t AS (SELECT 'portfolio_combined_walk_forward' AS pattern, {TRADE_METRICS} FROM pf_trades)",
+             select="SELECT * FROM t JOIN pf_metrics USING (pattern)"))
+def walk_portfolio(spark, folder):
+    trades = wf.walk_forward_portfolio(walked(spark, folder), WALK, min_abs_score=0.08, rebalance_every=2)
+    return pf.portfolio_summary(trades, name="portfolio_combined_walk_forward")
 
 
 @query("x14_net_objective", "member:s trades:i " + rounded("cumulative_return sharpe win_rate drawdown_score trade_penalty"),
