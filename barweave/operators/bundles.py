@@ -17,7 +17,7 @@ from pyspark.ml.feature import SQLTransformer
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from barweave.functions.tables import settle
-from barweave.operators import learn as ml, patterns as pt, reports as rp, signals as sg
+from barweave.operators import learn as ml, patterns as pt, reports as rp, signals as sg, thresholds as th
 
 FACTS = (
     "model_file string, pattern string, interval string, horizon_bars int, model_name string, columns array<string>, blended boolean, "
@@ -52,14 +52,25 @@ class ModelBundle:
     def judge(self, rows: DataFrame, long_at: float | None = None, short_at: float | None = None, use_model: bool = False) -> DataFrame:
         """``rows`` with pred_prob_up, position, meta_prob_trade and the thresholds; absent feature columns count as missing."""
         long_at, short_at = self.thresholds(long_at, short_at, use_model)
-        absent = [c for c in self.facts["columns"] if c not in rows.columns]
-        frame = rows.withColumns({c: F.lit(None).cast("double") for c in absent}) if absent else rows
-        prob = self.calibration.apply(F.col("prob_raw"))
-        scored = self.model.score(frame).withColumn("pred_prob_up", prob).drop("prob_raw")
+        scored, absent = self._scored(rows)
         scored = scored.withColumn("position", sg.position(F.col("pred_prob_up"), F.lit(long_at), F.lit(short_at)))
         scored = self.meta.apply(scored) if self.meta else scored.withColumn("meta_prob_trade", F.lit(None).cast("double"))
         return scored.drop(*absent).withColumns({"long_threshold": F.lit(float(long_at)), "short_threshold": F.lit(float(short_at))})
 
+    def _scored(self, rows: DataFrame) -> tuple[DataFrame, list[str]]:
+        absent = [c for c in self.facts["columns"] if c not in rows.columns]
+        frame = rows.withColumns({c: F.lit(None).cast("double") for c in absent}) if absent else rows
+        return self.model.score(frame).withColumn("pred_prob_up", self.calibration.apply(F.col("prob_raw"))).drop("prob_raw"), absent
+
+    def both_sides(self, rows: DataFrame) -> DataFrame:
+        """``rows`` with pred_prob_up, and whether the meta filter would let a row be bought (``may_buy``) or sold (``may_sell``)."""
+        scored, absent = self._scored(rows)
+        for side, flag in ((1, "may_buy"), (-1, "may_sell")):
+            taken = scored.withColumn("position", F.lit(side))
+            taken = self.meta.apply(taken).drop("meta_prob_trade") if self.meta else taken
+            scored = taken.withColumn(flag, F.col("position") != 0).drop("position")
+        return scored.drop(*absent)
+
 
 def model_file(pattern: str, interval: str, horizon: int, name: str | None = None) -> str:
     return "__".join([pattern, interval, f"h{horizon}", *([name] if name else [])])
@@ -256,6 +267,43 @@ class Backtest:
         return sg.equity_curve(self.periods, ["pattern", "model_file", "curve_variant"], initial)
 
 
+def _pool(dataset: DataFrame, folder: str, costs: sg.Costs, embargo_bars: int, patterns, model_files):
+    """The saved models, their dates, the dataset with realized returns, and the rows each model may be judged on."""
+    spark = dataset.sparkSession
+    bundles = load_bundles(spark, folder, costs.interval, costs.horizon, patterns, model_files)
+    if not bundles:
+        raise ValueError(f"no saved model for {costs.interval} bars and horizon {costs.horizon} under {folder}")
+    full = settle(sg.add_realized_return(dataset, costs.horizon, costs.latency))
+    known = [(b.model_file, b.pattern, b.facts.get("train_end"), b.facts.get("test_start")) for b in bundles]
+    models = spark.createDataFrame(known, "model_file string, pattern string, train_end timestamp, test_start timestamp")
+    return bundles, models, full, settle(sg.out_of_sample(pt.fan_out(full).drop("pattern"), models, costs.interval, embargo_bars, full))
+
+
+def optimize_saved_models(
+    dataset: DataFrame,
+    folder: str,
+    costs: sg.Costs = sg.Costs(),
+    long_at: float | None = None,
+    short_at: float | None = None,
+    embargo_bars: int = 0,
+    min_trades: int = 20,
+    patterns: Collection[str] | None = None,
+    model_files: Collection[str] | None = None,
+) -> DataFrame:
+    """Best threshold pair of every saved model on the rows after its training, behind its meta filter.
+
+    The pair to beat is ``long_at`` and ``short_at``, or else the model's own.
+    """
+    bundles, _, _, pool = _pool(dataset, folder, costs, embargo_bars, patterns, model_files)
+    out = []
+    for b in bundles:
+        rows = sg.drop_extreme(settle(b.both_sides(pool.where(F.col("model_file") == b.model_file))))
+        now = b.thresholds(long_at, short_at)
+        keep = (F.col("may_buy"), F.col("may_sell"))
+        out.append(th.optimize_out_of_sample(rows, ["pattern", "model_file"], costs, *now, min_trades=min_trades, interval=costs.interval, keep=keep))
+    return _union(out)
+
+
 def backtest_saved_models(
     dataset: DataFrame,
     folder: str,
@@ -272,14 +320,7 @@ def backtest_saved_models(
     ``dataset`` has prices, pattern flags, features and ``split``.  Returns are realized on the whole dataset before rows
     are chosen, so the last rows of a pattern do not lose their exit bar.
     """
-    spark = dataset.sparkSession
-    bundles = load_bundles(spark, folder, costs.interval, costs.horizon, patterns, model_files)
-    if not bundles:
-        raise ValueError(f"no saved model for {costs.interval} bars and horizon {costs.horizon} under {folder}")
-    full = settle(sg.add_realized_return(dataset, costs.horizon, costs.latency))
-    known = [(b.model_file, b.pattern, b.facts.get("train_end"), b.facts.get("test_start")) for b in bundles]
-    models = spark.createDataFrame(known, "model_file string, pattern string, train_end timestamp, test_start timestamp")
-    pool = settle(sg.out_of_sample(pt.fan_out(full).drop("pattern"), models, costs.interval, embargo_bars, full))
+    bundles, models, full, pool = _pool(dataset, folder, costs, embargo_bars, patterns, model_files)
     judged = settle(_union([b.judge(pool.where(F.col("model_file") == b.model_file), long_at, short_at, use_model) for b in bundles]))
     keys = ["pattern", "model_file"]
     signals = judged.where(F.col("position") != 0).withColumn("score", F.col("pred_prob_up") - 0.5)

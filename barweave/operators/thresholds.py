@@ -56,15 +56,18 @@ def _side_table(rows: DataFrame, keys: list[str], grid: Sequence[float], long_si
 def pair_periods(
     rows: DataFrame, keys: list[str], longs: Sequence[float], shorts: Sequence[float], costs: Costs, value: str, min_gap: float = 0.0,
     always: tuple[float, float] | None = None,
+    keep: tuple[Column, Column] | None = None,
 ) -> DataFrame:
     """(keys, long_threshold, short_threshold, datetime): trades per side and mean net return.
 
-    The pair ``always`` is evaluated even if its thresholds are closer than ``min_gap``.
+    The pair ``always`` is evaluated even if its thresholds are closer than ``min_gap``.  ``keep`` tells which rows may be
+    bought and which sold (a meta filter looks at a row and its side, never at the threshold that let it through).
     """
     r = F.col(value)
     usable = rows.where(r.isNotNull() & F.col("pred_prob_up").isNotNull())
-    long_side = _side_table(usable, keys, longs, True, costs.net(F.lit(1), r))
-    short_side = _side_table(usable, keys, shorts, False, costs.net(F.lit(-1), r))
+    buys, sells = keep or (F.lit(True), F.lit(True))
+    long_side = _side_table(usable.where(buys), keys, longs, True, costs.net(F.lit(1), r))
+    short_side = _side_table(usable.where(sells), keys, shorts, False, costs.net(F.lit(-1), r))
 
     def others(grid):
         return F.explode(F.array(*[F.lit(t) for t in grid]))
@@ -163,11 +166,12 @@ def optimize_out_of_sample(
     value: str = "realized_return",
     min_trades: int = 20,
     interval: str = "1d",
+    keep: tuple[Column, Column] | None = None,
 ) -> DataFrame:
     """Best pair by (return, annual return, sharpe, sortino, -drawdown, win rate, trades), with the current pair as baseline."""
     longs = local_grid(WIDE_LONG_GRID, current_long, 0.5, 0.95)
     shorts = local_grid(WIDE_SHORT_GRID, current_short, 0.05, 0.5)
-    table = pair_metrics(pair_periods(rows, keys, longs, shorts, costs, value, MIN_GAP, (current_long, current_short)), keys, interval)
+    table = pair_metrics(pair_periods(rows, keys, longs, shorts, costs, value, MIN_GAP, (current_long, current_short), keep), keys, interval)
     n = F.col("long_trades") + F.col("short_trades")
     table = table.withColumn("trades", n).where(n >= min_trades)
     goals = ("cumulative_return", "annualized_return", "sharpe", "sortino")

@@ -12,6 +12,7 @@ from barweave.operators.reports import month_end
 MARKET_RETURN, DEBT_SPREAD, DEFAULT_RATE = 0.08, 0.03, 0.0425
 WACC_LOW, WACC_HIGH, RATE_HIGH = 0.02, 0.35, 0.2
 BETA_LOW, BETA_HIGH, BETA_MONTHS = -3.0, 5.0, 12
+BETA_DAYS = 1899  # 5.2 years
 YEARS_OF_DATA, DCF_YEARS, TERMINAL_GROWTH, MIN_GROWTH_YEARS = 10, 5, 0.02, 3
 DCF_WEIGHT, REVENUE_WEIGHT, HAIRCUT = 0.60, 0.40, 0.90
 
@@ -81,8 +82,19 @@ def geometric_growth(annual: DataFrame, field: str, out: str, years: int = YEARS
     )
 
 
-def monthly_beta(bars: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """Beta of month-end changes to the benchmark; 1 when months are few or the benchmark is flat."""
+def monthly_beta(bars: DataFrame, benchmark: DataFrame, as_of: Column | None = None, days: int = BETA_DAYS) -> DataFrame:
+    """Beta of month-end changes to the benchmark over the ``days`` up to ``as_of`` (its newest date, if none is given).
+
+    1 when months are few or the benchmark is flat; the first month inside has no change.
+    """
+    end = benchmark.agg((F.max("datetime") if as_of is None else F.max(as_of)).alias("_end"))
+    symbols = bars.select("symbol").distinct()
+
+    def recent(frame):
+        near = frame.crossJoin(F.broadcast(end))  # one row
+        return near.where(F.col("datetime").between(F.timestamp_add("DAY", F.lit(-days), F.col("_end")), F.col("_end"))).drop("_end")
+
+    bars, benchmark = recent(bars), recent(benchmark)
     stock = month_end(bars).where(F.col("ret").isNotNull()).select("symbol", "datetime", F.col("ret").alias("_s"))
     bench = month_end(benchmark).where(F.col("ret").isNotNull()).select("datetime", F.col("ret").alias("_b"))
     paired = stock.join(bench, "datetime").groupBy("symbol").agg(
@@ -91,7 +103,7 @@ def monthly_beta(bars: DataFrame, benchmark: DataFrame) -> DataFrame:
     good = (F.col("_n") >= BETA_MONTHS) & (F.col("_var") > 1e-12)
     beta = F.when(good, clip(F.col("_cov") / F.col("_var"), BETA_LOW, BETA_HIGH)).otherwise(1.0)
     known = paired.select("symbol", beta.alias("beta"))
-    return bars.select("symbol").distinct().join(known, "symbol", "left").fillna(1.0, ["beta"])
+    return symbols.join(known, "symbol", "left").fillna(1.0, ["beta"])
 
 
 def risk_free(rate: Column) -> Column:

@@ -12,7 +12,7 @@ from barweave.plans.context import guard
 from barweave.plans.core import CUT, METRIC_COLS, SCORE, WINDOWS, blind_trades
 from barweave.plans.registry import query, rounded
 from barweave.plans.sqlparts import BLIND, FLAGS, FUTURE, MEMBERS, REALIZED, RETURNS, TRADE_METRICS, WEEKLY, metrics_sql, with_
-from barweave.plans.strategy import PICKED, SIGNAL_PARTS, SIZED, scored_members
+from barweave.plans.strategy import LONGS2, PICKED, SHORTS2, SIGNAL_PARTS, SIZED, grid_values, pair_sql, scored_members, tie
 from barweave.sources.demo import table, weekly_bars
 
 FEATURES = ["ret_1", "ret_2", "ret_5", "hl_spread", "co_spread", "gap", "volatility_20", "z_close_20", "z_volume_20", "up_streak", "down_streak"]
@@ -373,3 +373,23 @@ SELECT pattern, model_file, curve_variant, datetime, greatest(period_return, -0.
 FROM allp WINDOW w AS (PARTITION BY model_file, curve_variant ORDER BY datetime ROWS UNBOUNDED PRECEDING)"""))
 def saved_curves(spark, folder):
     return saved_backtest(spark, folder).curves()
+
+
+@query("o2_saved_model_thresholds", "pattern:s model_file:s long_threshold:d short_threshold:d trades:i cumulative_return:d5 improvement_cumulative_return:d5",
+       with_(WEEKLY, FLAGS, MEMBERS, RETURNS, CUT, JUDGED, SAVED_TRADES, f"""
+oos AS (SELECT j.model_file AS pattern, j.datetime, j.pred_prob_up, r.realized_return
+        FROM judged j JOIN starts s USING (model_file) JOIN realized r ON r.symbol = j.symbol AND r.datetime = j.datetime
+        WHERE j.datetime >= s.judged_from AND abs(r.realized_return) <= 3 AND (meta = 0 OR 0.5 + abs(j.pred_prob_up - 0.5) >= meta))""",
+             grid_values("longs", LONGS2), grid_values("shorts", SHORTS2), pair_sql("realized_return", "oos", "5.0 / 10000", 0.03),
+             metrics_sql("pp", "pattern, long_threshold, short_threshold"),
+             "cand AS (SELECT * FROM pp_metrics JOIN nn USING (pattern, long_threshold, short_threshold) WHERE trades >= 20)", select=f"""
+SELECT split_part(pattern, '__', 1) AS pattern, pattern AS model_file, long_threshold, short_threshold, trades, cumulative_return,
+       cumulative_return - before AS improvement_cumulative_return
+FROM (SELECT *, row_number() OVER (PARTITION BY pattern ORDER BY {tie('cumulative_return')} DESC, {tie('annualized_return')} DESC, {tie('sharpe')} DESC, {tie('sortino')} DESC,
+                                   {tie('-abs(max_drawdown)')} DESC, win_rate_period DESC, trades DESC, long_threshold, short_threshold) AS rk,
+             max(cumulative_return) FILTER (WHERE abs(long_threshold - 0.55) < 1e-9 AND abs(short_threshold - 0.45) < 1e-9) OVER (PARTITION BY pattern) AS before
+      FROM cand) WHERE rk = 1"""))
+def saved_thresholds(spark, folder):
+    """Threshold search behind the meta filter of each saved model."""
+    frame = lb.chronological_split(bf.add_returns(pt.add_patterns(weekly_bars(spark, folder))))
+    return mb.optimize_saved_models(frame, saved_rules(spark), long_at=0.55, short_at=0.45, embargo_bars=7)

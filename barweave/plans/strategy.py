@@ -496,12 +496,16 @@ growth AS (
   FROM yv GROUP BY symbol)"""
 
 BETA_SQL = """
-bench AS (SELECT 'B' AS symbol, datetime, avg(close) AS close FROM bars GROUP BY 2),
+recent AS (SELECT * FROM bars WHERE datetime >= (SELECT max(datetime) FROM bars) - INTERVAL 1899 DAY),
+recent_months AS (SELECT symbol, CAST(last_day(datetime) AS TIMESTAMP) AS datetime, arg_max(close, datetime) AS close FROM recent GROUP BY 1, 2),
+recent_ret AS (SELECT *, close / lag(close) OVER (PARTITION BY symbol ORDER BY datetime) - 1 AS ret FROM recent_months),
+bench AS (SELECT 'B' AS symbol, datetime, avg(close) AS close FROM recent GROUP BY 2),
 bm AS (SELECT CAST(last_day(datetime) AS TIMESTAMP) AS datetime, arg_max(close, datetime) AS close FROM bench GROUP BY 1),
 br AS (SELECT datetime, close / lag(close) OVER (ORDER BY datetime) - 1 AS b FROM bm),
 beta5 AS (
-  SELECT symbol, CASE WHEN count(*) >= 12 AND var_pop(b) > 1e-12 THEN least(5, greatest(-3, covar_pop(ret, b) / var_pop(b))) ELSE 1 END AS beta
-  FROM monthly_ret JOIN br USING (datetime) WHERE ret IS NOT NULL AND b IS NOT NULL GROUP BY symbol)"""
+  SELECT symbol, coalesce(beta, 1) AS beta FROM (SELECT DISTINCT symbol FROM bars) LEFT JOIN (
+    SELECT symbol, CASE WHEN count(*) >= 12 AND var_pop(b) > 1e-12 THEN least(5, greatest(-3, covar_pop(ret, b) / var_pop(b))) ELSE 1 END AS beta
+    FROM recent_ret JOIN br USING (datetime) WHERE ret IS NOT NULL AND b IS NOT NULL GROUP BY symbol) USING (symbol))"""
 
 
 @query("v1_trailing_sums", "symbol:i " + rounded("ttm_revenue ttm_gross ttm_income ttm_interest ttm_ebit ttm_operating ttm_tax ttm_pretax ttm_ocf prior_revenue prior_gross prior_operating", "d2"),
