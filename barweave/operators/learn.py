@@ -186,15 +186,18 @@ def fit_stacked(train: DataFrame, columns: Sequence[str], seed: int = 42, size:
 
 # ---------------------------------------------------------------- feature choice
 def permutation_importance(
-    model: StackedModel, rows: DataFrame, repeats: int = 2, buckets: int = 16
+    model: StackedModel, rows: DataFrame, repeats: int = 2, buckets: int = 16, bucket_rows: int = 20_000
 ) -> DataFrame:
     """Loss of ROC-AUC when one feature is shuffled, for every feature in one pass.
 
-    All rows count.  They swap values inside hash buckets, so no global
-    ordering is needed; every feature is scored on its own copy of the rows.
+    All rows count.  They swap values inside hash buckets of about ``bucket_rows`` rows (at least ``buckets`` of them), so no
+    task orders more than these.  A row meets its partner once for all features; the vector with one value exchanged lives
+    only while it is scored, and what is shuffled is a score per row and feature, counted together with equal ones first.
     """
     prepared = model.prepare.transform(rows).select("symbol", "datetime", "future_direction", vector_to_array("features").alias("_x"))
-    prepared = settle(prepared.withColumn("_bucket", F.pmod(F.xxhash64("symbol", "datetime"), F.lit(buckets))))
+    prepared = settle(prepared)
+    buckets = max(buckets, -(-prepared.count() // bucket_rows))
+    prepared = prepared.withColumn("_bucket", F.pmod(F.xxhash64("symbol", "datetime"), F.lit(buckets)))
     names = F.array(*[F.lit(c) for c in model.columns])
     home = Window.partitionBy("_bucket").orderBy("symbol", "datetime")
     copies = prepared.select("future_direction", F.col("_x").alias("_v"), F.lit(-1).alias("_j"), F.lit(0).alias("_round"))

@@ -137,3 +137,55 @@ def test_scan_takes_the_best_model_of_a_symbol(spark, tmp_path):
     assert mb.scan_saved_models(both, str(tmp_path), horizon=5).count() == 0
     with pytest.raises(ValueError):
         mb.backtest_saved_models(both, str(tmp_path / "none"))
+
+
+def test_meta_filters_look_at_the_side(spark, tmp_path):
+    frame = bars_with(spark, range(10, 20), 0, [0.9, 0.62, 0.5, 0.38, 0.1] * 2)
+    mb.save_bundle(spark, mb.rule_bundle("doji", "prob", meta_probability="0.5 + meta_signed_edge", meta_threshold=0.6), str(tmp_path))
+    (loaded,) = mb.load_bundles(spark, str(tmp_path), "1d", 1)
+    got = [(r.may_buy, r.may_sell) for r in loaded.both_sides(frame).orderBy("datetime").limit(5).collect()]
+    assert got == [(True, False), (True, False), (False, False), (False, True), (False, True)]
+
+
+def test_thresholds_are_searched_behind_the_meta_filter(spark, tmp_path):
+    """The filter lets through only rows far from one half, so every pair that trades these alone is equal and the lowest thresholds win."""
+    probs = [0.9 if i % 2 else 0.6 for i in range(40)]
+    closes = [100.0 + (i // 2) for i in range(40)]  # a row of 0.9 gains, one of 0.6 stands still
+    frame = bars_with(spark, closes, 1, probs)
+    for name, meta in (("plain", None), ("strict", "0.5 + meta_abs_edge")):
+        mb.save_bundle(spark, mb.rule_bundle("doji", "prob", meta_probability=meta, meta_threshold=0.8, name=name), str(tmp_path))
+    got = {r.model_file: r for r in mb.optimize_saved_models(frame, str(tmp_path), sg.Costs(), min_trades=5).collect()}
+    plain, strict = got["doji__1d__h1__plain"], got["doji__1d__h1__strict"]
+    assert plain.long_threshold > 0.6 and plain.improvement_cumulative_return > 0
+    assert strict.long_threshold < 0.6 and abs(strict.improvement_cumulative_return) < 1e-12
+    assert plain.trades == strict.trades and abs(plain.cumulative_return - strict.cumulative_return) < 1e-9
+
+
+def test_importance_equals_one_feature_at_a_time(spark, trained):
+    """Each feature is exchanged and scored alone, with partners taken in the order that the operator states."""
+    folder, frame, _, _ = trained
+    rows = frame.where("split = 'test'")
+    model = ml.fit_stacked(frame.where("split = 'train'"), ["x1", "noise"], 42, ml.LearnerSize(rounds=2, trees=3, depth=2, fast=True))
+    table = {r.feature: r for r in ml.permutation_importance(model, rows, repeats=2, buckets=3, bucket_rows=40).collect()}
+    bucket = F.pmod(F.xxhash64("symbol", "datetime"), F.lit(4))  # 160 rows, 40 to a bucket
+    keyed = rows.select("*", bucket.alias("b"), *[F.xxhash64("symbol", "datetime", F.lit(r)).alias(f"h{r}") for r in range(2)]).collect()
+
+    def auc(values):
+        changed = spark.createDataFrame([(r.symbol, r.datetime, r.future_direction, *values(r)) for r in keyed], "symbol string, datetime timestamp, future_direction int, x1 double, noise double")
+        scored = [(p.prob_raw, p.future_direction) for p in model.score(changed).collect()]
+        up, down = [p for p, y in scored if y], [p for p, y in scored if not y]
+        return sum((a > b) + 0.5 * (a == b) for a in up for b in down) / (len(up) * len(down))
+
+    base = auc(lambda r: (r.x1, r.noise))
+    for feature in ("x1", "noise"):
+        drops = []
+        for k in range(2):
+            partner = {}
+            for b in {r.b for r in keyed}:
+                own = [r for r in keyed if r.b == b]
+                home = sorted(own, key=lambda r: (r.symbol, r.datetime))
+                partner |= {(h.symbol, h.datetime): o for h, o in zip(home, sorted(own, key=lambda r: r[f"h{k}"]))}
+            swap = lambda r: partner[(r.symbol, r.datetime)][feature]
+            drops.append(base - auc(lambda r: (swap(r), r.noise) if feature == "x1" else (r.x1, swap(r))))
+        assert abs(table[feature].importance_mean - sum(drops) / 2) < 1e-9
+    assert table["x1"].importance_mean > 0.1

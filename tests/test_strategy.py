@@ -144,3 +144,25 @@ def test_text(spark):
     assert (out[0].a.low, out[0].a.high, out[0].a.mid) == (1001.0, 15000.0, 8000.5) and out[1].a is None
     assert (out[0].n, out[1].n) == (3.5e9, 0.12)
     assert (out[0].s, out[1].s) == ("BRK-B", None) and (out[0].g, out[1].g) == (2.0, 0.0)
+
+
+def test_beta_looks_back_a_bounded_time(spark):
+    """Twice the benchmark lately, its opposite before; the look-back decides, and symbols without a recent bar have beta 1."""
+    import datetime as dt
+
+    from barweave.operators import valuation as va
+
+    rows, level, price = [], 100.0, 100.0
+    for m in range(60):
+        step = 0.02 if m % 3 else -0.03
+        level *= 1 + step
+        price *= 1 + (2 * step if m >= 36 else -step)
+        rows.append((m, dt.datetime(2018 + m // 12, m % 12 + 1, 20), level, price))
+    bench = spark.createDataFrame([("B", d, b) for _, d, b, _ in rows], "symbol string, datetime timestamp, close double")
+    bars = spark.createDataFrame([("A", d, p) for _, d, _, p in rows] + [("old", d, p) for m, d, _, p in rows if m < 24], bench.schema)
+    recent = {r.symbol: r.beta for r in va.monthly_beta(bars, bench, days=700).collect()}
+    assert abs(recent["A"] - 2.0) < 1e-9 and recent["old"] == 1.0
+    whole = {r.symbol: r.beta for r in va.monthly_beta(bars, bench).collect()}
+    assert whole["A"] < 1.5 and abs(whole["old"] + 1.0) < 1e-9
+    then = {r.symbol: r.beta for r in va.monthly_beta(bars, bench, F.lit("2020-12-31").cast("timestamp"), 700).collect()}
+    assert abs(then["A"] + 1.0) < 1e-9
